@@ -96,6 +96,7 @@ class _Build:
             F.concat(F.lit("case "), conv.cast("string")).alias("subject"),
             F.when(step == 0, "open").when(step == 1, "in_progress").when(step == 2, "resolved").otherwise("closed").alias("status"),
             _case_start(conv).alias("created_at"),
+            (_case_start(conv) + F.make_dt_interval(hours=(conv % 60).cast("int"))).alias("updated_at"),
         )
 
     def support_messages(self) -> DataFrame:
@@ -128,6 +129,222 @@ class _Build:
         )
 
 
+    def admins(self) -> DataFrame:
+        return self.raw("supplier").select(
+            F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lower("s_name").alias("email")
+        )
+
+    def drivers(self) -> DataFrame:
+        return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+    def deliveries(self) -> DataFrame:
+        done = F.col("l_linestatus") == "F"
+        return self.raw("lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_suppkey").alias("driver_id"),
+            F.when(done, "delivered").otherwise("in_transit").alias("status"),
+            F.col("l_shipdate").alias("started_at"),
+            F.when(done, F.col("l_shipdate") + F.make_dt_interval(hours=F.lit(2))).alias("delivered_at"),
+        )
+
+    def carts(self) -> DataFrame:
+        idle = F.make_dt_interval(mins=(F.col("o_orderkey") % 240).cast("int"))
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("id"),
+            F.col("o_custkey").alias("user_id"),
+            F.col("o_orderdate").alias("created_at"),
+            (F.lit(AS_OF_TIME).cast("timestamp_ntz") - idle).alias("updated_at"),
+        )
+
+    def cart_items(self) -> DataFrame:
+        return self.raw("lineitem").select(
+            F.col("l_orderkey").alias("cart_id"),
+            F.col("l_partkey").alias("menu_item_id"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+        )
+
+    def cart_adds(self) -> DataFrame:
+        line = F.col("l_linenumber")
+        quantity = F.when(line == 1, F.lit(None)).when(line == 2, 0).when(line == 3, -1).otherwise(F.col("l_quantity").cast("int"))
+        return self.raw("lineitem").select(
+            F.col("l_suppkey").alias("cart_id"), F.col("l_partkey").alias("menu_item_id"), quantity.alias("quantity")
+        )
+
+    def promotions(self) -> DataFrame:
+        n, now = F.col("n"), F.lit(AS_OF_TIME).cast("timestamp_ntz")
+        region = F.lit(None).cast("string")
+        for i, name in enumerate(PROMO_REGIONS, 1):
+            region = F.when(n % 10 == i, name).otherwise(region)
+        brands = self.raw("part").groupBy("p_brand").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("uses"))
+        return brands.withColumn("n", F.substring_index("p_brand", "#", -1).cast("int")).select(
+            "id",
+            F.upper("p_brand").alias("code"),
+            F.col("p_brand").alias("name"),
+            F.concat(F.lit('{"type":"percentage_off","percent":'), n.cast("string"), F.lit("}")).alias("discount_strategy"),
+            region.alias("region"),
+            (n * 10 + 80).alias("traffic_multiplier"),
+            F.when(n % 4 != 0, n * 20).alias("max_redemptions"),
+            F.col("uses").cast("int").alias("current_redemptions"),
+            (now - F.make_dt_interval(days=n)).alias("starts_at"),
+            (now + F.make_dt_interval(days=n % 5 - 1)).alias("ends_at"),
+        )
+
+    def entered_codes(self) -> DataFrame:
+        key = F.col("c_custkey")
+        return self.raw("customer").select(key.alias("user_id"), F.concat(F.lit("brand#"), (key % 30).cast("string")).alias("code"))
+
+    def runs(self) -> DataFrame:
+        kind = F.col("event_type")
+        return self.raw("events").select(
+            F.col("event_id").alias("id"),
+            F.when(kind == "error", "failed").when(kind == "signup", "running").otherwise("completed").alias("status"),
+            F.col("ts").alias("started_at"),
+            F.replace("props", F.lit('"k"'), F.lit('"signups"')).alias("counters"),
+        )
+
+    def configs(self) -> DataFrame:
+        key = F.col("p_partkey")
+        return self.raw("part").select(
+            key.alias("id"),
+            (key * 2 + 1).alias("version"),
+            F.concat(F.lit('{"signupsPerTick":'), F.col("p_size").cast("string"), F.lit("}")).alias("base_rates"),
+            F.when(key % 3 == 0, "active").otherwise("inactive").alias("active"),
+        )
+
+    def decisions(self) -> DataFrame:
+        return self.drafts().select(
+            "case_id",
+            F.when(F.col("message_id") % 11 == 0, "unheard_of").otherwise(F.col("suggested_action")).alias("admin_action"),
+            F.when(F.col("message_id") % 13 == 0, -1)
+            .when(F.col("suggested_action") == "refund", F.col("suggested_amount_cents") * 100_000)
+            .otherwise(F.col("suggested_amount_cents"))
+            .alias("admin_amount_cents"),
+            F.col("suggested_response").alias("admin_response"),
+            F.col("generated_at").alias("created_at"),
+        )
+
+    def replies(self) -> DataFrame:
+        """Raw reply texts in every form a responder may produce, one per customer message."""
+        key = F.col("id")
+        kind, n = key % 12, key.cast("string")
+
+        def reply(action: str, cents: str) -> Column:
+            return F.concat(
+                F.lit('{"case_summary":"s'), n, F.lit('","suggested_response":"r'), n, F.lit(f'","suggested_action":"{action}",'),
+                F.lit(f'"suggested_amount_cents":{cents},"reasoning":"w'), n, F.lit('"}'),
+            )
+
+        raw = (
+            F.when(kind == 0, reply("refund", "1250"))
+            .when(kind == 1, F.concat(F.lit("```json\n"), reply("credit", "300"), F.lit("\n```")))
+            .when(kind == 2, F.concat(F.lit("```\n"), reply("escalate", "0"), F.lit("\n```  ")))
+            .when(kind == 3, reply("give_up", "5"))
+            .when(kind == 4, F.lit("{}"))
+            .when(kind == 5, reply("refund", '"12"'))
+            .when(kind == 6, reply("refund", '"abc"'))
+            .when(kind == 7, F.substring(reply("credit", "1"), 1, 40))
+            .when(kind == 8, F.concat(F.lit("["), reply("credit", "1"), F.lit("]")))
+            .when(kind == 9, F.concat(reply("credit", "1"), F.lit(" done")))
+            .when(kind == 10, reply("resolve", "99.9"))
+            .otherwise(reply("no_action", "null"))
+        )
+        messages = self.support_messages().where(F.col("admin_id").isNull())
+        return messages.select(
+            key.alias("message_id"),
+            "case_id",
+            "user_id",
+            raw.alias("raw_reply"),
+            F.lit(None).cast("string").alias("responder_error"),
+            F.lit("sample").alias("model"),
+        )
+
+    # --- histories ---------------------------------------------------------------------------
+
+    def event_history(self) -> DataFrame:
+        """events as a change history: key user_id, ordered by event_id, 'error' deletes."""
+        kind = F.col("event_type")
+        return self.raw("events").select(
+            F.col("user_id").alias("id"),
+            "value",
+            "props",
+            F.when(kind == "error", "delete").when(kind == "signup", "insert").otherwise("update").alias("_change_type"),
+            F.col("event_id").alias("_lsn"),
+            (F.col("event_id") % 7).alias("_xid"),
+            F.col("ts").alias("_timestamp"),
+        )
+
+    def order_history(self) -> DataFrame:
+        """events as status changes of orders."""
+        kind = F.col("event_type")
+        return self.raw("events").select(
+            F.col("user_id").alias("id"),
+            F.col("event_id").alias("_lsn"),
+            F.when(kind == "signup", "pending")
+            .when(kind == "view", "preparing")
+            .when(kind == "click", "ready")
+            .when((kind == "purchase") & (F.col("value") < 10), "delivered")
+            .when(kind == "purchase", "out_for_delivery")
+            .otherwise("cancelled")
+            .alias("status"),
+        )
+
+    def _line_id(self) -> Column:
+        return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+    def current_rows(self, name: str) -> tuple[DataFrame, str, Column]:
+        """Rows of one table, the column an update changes, and a number per row."""
+        lines = self.raw("lineitem").withColumn("id", self._line_id())
+        line_number = F.col("l_orderkey") + F.col("l_partkey")
+        simple = {
+            "users": ("name", self.users),
+            "orders": ("status", self.orders),
+            "menu_items": ("name", self.menu_items),
+            "support_cases": ("status", self.support_cases),
+            "support_messages": ("content", self.support_messages),
+            "admins": ("name", self.admins),
+        }
+        if name in simple:
+            column, build = simple[name]
+            return build(), column, F.col("id")
+        cents = _cents(F.col("l_extendedprice")).alias("amount_in_cents")
+        if name == "order_items":
+            kept = ["id", "l_orderkey", "l_partkey", "l_returnflag"]
+            return lines.select(*kept, cents), "l_returnflag", line_number
+        flag = "R" if name == "refunds" else "A"
+        kept = ["id", "l_orderkey", "l_partkey", "l_linestatus"]
+        return lines.where(F.col("l_returnflag") == flag).select(*kept, cents), "l_linestatus", line_number
+
+    def table_history(self, name: str) -> DataFrame:
+        """A change history whose current state is known: per row an insert, a late older update
+        (must lose), sometimes a newer update, sometimes a delete, and an exact duplicate."""
+        rows, column, k = self.current_rows(name)
+        k7, k6, k5, k3 = (F.col("_k") % n == 0 for n in (7, 6, 5, 3))
+
+        def change(kind: str, step: int, on: Column) -> Column:
+            return F.struct(F.lit(kind).alias("_change_type"), F.lit(step).alias("step"), on.alias("on"))
+
+        changes = F.array(
+            change("insert", 1, F.lit(True)),
+            change("update", 0, k5),
+            change("update", 2, k3),
+            change("update", 2, k6),
+            change("delete", 3, k7),
+        )
+        text = F.col(column)
+        changed = F.when(F.col("step") == 0, "late").when(F.col("step") == 2, F.concat(text, F.lit(" (changed)"))).otherwise(text)
+        exploded = rows.withColumn("_k", k).select("*", F.inline(changes)).where("on")
+        return exploded.withColumns(
+            {
+                column: changed,
+                "_lsn": F.col("_k") * 10 + F.col("step"),
+                "_xid": F.col("_k"),
+                "_timestamp": F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("step")),
+            }
+        ).drop("_k", "step", "on")
+
+
+PROMO_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "us_east", "us_central", "us_west", "eu_west")
 NAMES = (
     "users",
     "orders",
@@ -138,9 +355,26 @@ NAMES = (
     "support_cases",
     "support_messages",
     "drafts",
+    "admins",
+    "drivers",
+    "deliveries",
+    "carts",
+    "cart_items",
+    "cart_adds",
+    "promotions",
+    "entered_codes",
+    "runs",
+    "configs",
+    "decisions",
+    "replies",
+    "event_history",
+    "order_history",
 )
+HISTORIES = ("users", "orders", "order_items", "menu_items", "support_cases", "support_messages", "refunds", "credits", "admins")
 
 
 def sample_tables(spark: SparkSession, folder: str) -> Tables:
     build = _Build(spark, folder)
-    return Tables(spark, {name: getattr(build, name) for name in NAMES})
+    sources = {name: getattr(build, name) for name in NAMES}
+    sources |= {f"{name}_history": (lambda name=name: build.table_history(name)) for name in HISTORIES}
+    return Tables(spark, sources)

@@ -50,6 +50,15 @@ def _field(doc: Column, name: str) -> tuple[Column, Column]:
     )
 
 
+def _evaluated(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are computed exactly once.
+
+    A filter on a plain column is moved below the projection together with a copy of the
+    column's expression; it is not moved below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[col.alias(name) for name, col in cols.items()]))))
+
+
 def parse_replies(df: DataFrame, raw: str, error: str | None = None) -> DataFrame:
     """Add the five reply fields and `reject_reason` (null = valid) for a raw reply column.
 
@@ -58,7 +67,8 @@ def parse_replies(df: DataFrame, raw: str, error: str | None = None) -> DataFram
     numbers in the integer range, are rejected with a reason. `error` names a column with the
     responder's own error.
     """
-    df = df.withColumn("_doc", whole_json(strip_fence(F.col(raw))))
+    df = _evaluated(df, _text=strip_fence(F.col(raw)))
+    df = _evaluated(df, _doc=whole_json(F.col("_text"))).drop("_text")
     doc = F.col("_doc")
     action, action_type = _field(doc, "suggested_action")
     cents, cents_type = _field(doc, "suggested_amount_cents")
@@ -77,12 +87,12 @@ def parse_replies(df: DataFrame, raw: str, error: str | None = None) -> DataFram
         out[name] = F.coalesce(F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text), F.lit(""))
     out["suggested_action"] = F.when(in_domain(action, ACTIONS), action).otherwise("no_action")
     truncated = F.when(F.abs(amount) < INT_MAX + 1.0, amount.cast("int"))
-    out["suggested_amount_cents"] = truncated
+    df = _evaluated(df, suggested_amount_cents=truncated)
     reasons = [
         (doc.isNull(), "not json"),
         (~F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), "not an object"),
         (F.coalesce(action_type.rlike("^(ARRAY|OBJECT)"), F.lit(False)), "bad action"),
-        (truncated.isNull(), "bad amount"),
+        (F.col("suggested_amount_cents").isNull(), "bad amount"),
     ]
     if error:
         reasons.insert(0, (F.col(error).isNotNull(), "responder error"))
