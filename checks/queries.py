@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from checks.sample_tables import AS_OF, AS_OF_TIME, HISTORIES, sample_tables
+from checks.sample_tables import AS_OF, AS_OF_TIME, HISTORIES, RAW, sample_tables
 from opsloom.functions.ids import hex_to_uuid, key_bytes, normalise_id, short_id, uuid_text
 from opsloom.functions.jsons import parse_replies, with_json
 from opsloom.functions.times import ntz_literal
@@ -15,8 +16,8 @@ from opsloom.operators import cdc
 from opsloom.operators.ordered import dense_index
 from opsloom.operators.rows import split_valid
 from opsloom.plans import agent, commerce, console, gold
-from opsloom.schemas import CHANGE_COLUMNS, DISCOUNT_STRATEGY, ORDER_STATUSES, BASE_RATES, struct
-from opsloom.session import scratch_path
+from opsloom.schemas import BASE_RATES, DISCOUNT_STRATEGY, ORDER_STATUSES
+from opsloom.session import scratch_path, stored
 from opsloom.sources import store
 from opsloom.sources.history import read_history_stream
 from opsloom.sources.tables import Tables
@@ -50,13 +51,13 @@ def _diff(t: Tables) -> DataFrame:
     return cdc.diff_changes(old, EVENTS.current(t["event_history"]), ["id"]).withColumnRenamed("_change_type", "change")
 
 
-EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events file read as a stream, applied to a current-state table and read back."""
     sample_tables(spark, folder)
-    schema = spark.createDataFrame([], EVENT_SCHEMA).schema
+    schema = T.StructType.fromDDL(RAW["events"])
     rows = read_history_stream(spark, folder, schema, file_pattern="events.parquet")
     kind = F.col("event_type")
     history = rows.select(
@@ -82,7 +83,7 @@ def _current(name: str) -> Query:
 
 
 def _prompts(t: Tables) -> DataFrame:
-    prompts = agent.case_prompts(t, agent.unanswered_messages(t), AS_OF)
+    prompts = agent.case_prompts(t, stored(agent.unanswered_messages(t), "selected"), AS_OF)
     return prompts.select("message_id", "case_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
 
 
@@ -133,7 +134,7 @@ def _policy(t: Tables) -> DataFrame:
     cases = t["support_cases"].withColumn("subject", F.get(subjects, (F.col("id") % len(SUBJECTS)).cast("int")))
     thanks = F.when(F.col("case_id") % 5 == 0, F.lit(agent.THANKS[0])).otherwise(F.col("content"))
     t = t.with_tables(support_cases=cases, support_messages=t["support_messages"].withColumn("content", thanks))
-    return agent.policy_suggestions(t, agent.unanswered_messages(t), AS_OF)
+    return agent.policy_suggestions(t, stored(agent.unanswered_messages(t), "selected"), AS_OF)
 
 
 # Case subjects.
