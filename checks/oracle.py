@@ -400,6 +400,12 @@ DEMAND = _with(
   round(hour_factor * weekday_factor * coalesce(m.multiplier, 1.0::DOUBLE) * weight, 6) AS demand
 FROM factors f LEFT JOIN multipliers m USING (region)""",
 )
+ENGAGEMENT = _q(
+    f"""SELECT u.id AS user_id, count(o.id) AS orders, max(o.created_at) AS latest_order_at,
+  CAST((CASE WHEN max(o.created_at) > {NOW} - to_days(3) THEN 4 WHEN max(o.created_at) > {NOW} - to_days(7) THEN 2 ELSE 1 END)
+    * (CASE WHEN count(o.id) >= 5 THEN 3 WHEN count(o.id) >= 2 THEN 2 ELSE 1 END) AS INTEGER) AS weight
+FROM s_users u LEFT JOIN s_orders o ON o.user_id = u.id GROUP BY u.id"""
+)
 AUDIT_CTE = """audit AS (
   SELECT *, CASE WHEN previous_status IS NULL THEN 'start' WHEN previous_status = status THEN 'unchanged'
     WHEN (previous_status || '>' || status) IN ('pending>preparing', 'preparing>ready', 'ready>out_for_delivery',
@@ -580,12 +586,8 @@ FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderk
   CASE WHEN due THEN {NOW} ELSE updated_at END AS updated_at
 FROM (SELECT *, status = 'resolved' AND updated_at < {NOW} - to_hours(24) AS due FROM s_cases)"""
     ),
-    "engagement_weights": _q(
-        f"""SELECT u.id AS user_id, count(o.id) AS orders, max(o.created_at) AS latest_order_at,
-  CAST((CASE WHEN max(o.created_at) > {NOW} - to_days(3) THEN 4 WHEN max(o.created_at) > {NOW} - to_days(7) THEN 2 ELSE 1 END)
-    * (CASE WHEN count(o.id) >= 5 THEN 3 WHEN count(o.id) >= 2 THEN 2 ELSE 1 END) AS INTEGER) AS weight
-FROM s_users u LEFT JOIN s_orders o ON o.user_id = u.id GROUP BY u.id"""
-    ),
+    "engagement_weights": ENGAGEMENT,
+    "engagement_weights_by_suffix": ENGAGEMENT.replace("GROUP BY u.id", "WHERE u.email LIKE '%7' GROUP BY u.id"),
     "regional_demand": DEMAND,
     "order_transition_audit": _with(AUDIT_CTE, 'SELECT id, lsn AS "_lsn", previous_status, status, verdict FROM audit'),
     "order_transition_summary": _with(

@@ -58,7 +58,8 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events file read as a stream, applied to a current-state table and read back."""
     sample_tables(spark, folder)
     schema = T.StructType.fromDDL(RAW["events"])
-    rows = read_history_stream(spark, folder, schema, file_pattern="events.parquet")
+    # a pattern, so that the table may be one file or a folder of files
+    rows = read_history_stream(spark, f"{folder}/events.parque[t]", schema)
     kind = F.col("event_type")
     history = rows.select(
         F.col("user_id").alias("id"),
@@ -309,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "stale_cart_items_kept": _over(lambda t: commerce.drop_stale_carts(t, AS_OF_TIME)["cart_items"]),
     "auto_close": _over(lambda t: commerce.auto_close(t, AS_OF_TIME)),
     "engagement_weights": _over(lambda t: commerce.engagement_weights(t, AS_OF_TIME)),
+    "engagement_weights_by_suffix": _over(lambda t: commerce.engagement_weights(t, AS_OF_TIME, "7")),
     "regional_demand": _over(_demand),
     "order_transition_audit": _over(lambda t: commerce.order_transition_audit(t["order_history"])),
     "order_transition_summary": _over(lambda t: commerce.audit_summary(commerce.order_transition_audit(t["order_history"]))),

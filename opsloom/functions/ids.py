@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed patterns of the accepted identifier forms.
 UUID_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -58,4 +59,10 @@ def short_id(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(col, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
+def id_text(df: DataFrame, name: str) -> Column:
+    """A key column as text for display and search: uuid form for binary keys."""
+    col = F.col(name)
+    return uuid_text(col) if isinstance(df.schema[name].dataType, T.BinaryType) else col.cast("string")

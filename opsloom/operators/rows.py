@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest `order` per key.
 
-    One aggregate: rows are combined before the shuffle, so a hot key sends one row per task.
-    `order` must end in a column that is unique within the key.
+    Written as rank 1: Spark keeps one row per key and task before the shuffle, so a hot key
+    sends one row per task. `order` should end in a column that is unique within the key.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
+    return top_n_per_key(df, keys, [F.desc(c) for c in order], 1)
 
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.functions.ids import id_text
 from opsloom.functions.text import dollars, elapsed, matches_search, response_time, time_ago
 from opsloom.functions.times import ntz_literal, rounded_minutes, since_instant, whole_minutes, whole_seconds
 from opsloom.functions.values import first_time, in_domain, or_zero, role
@@ -285,7 +286,7 @@ def section(status: Column) -> Column:
 
 def queue_search(queue: DataFrame, query: str = "", as_of: dt.datetime | str | None = None) -> DataFrame:
     """Queue rows that match the query, with their section and, given as_of, their age text."""
-    ids = [F.col("case_id").cast("string"), F.col("user_id").cast("string")]
+    ids = [id_text(queue, "case_id"), id_text(queue, "user_id")]
     texts = [F.col(c) for c in ("subject", "user_name", "user_email", "suggested_action")]
     out = queue.where(matches_search(query, ids, texts)).withColumn("section", section(F.col("status")))
     if as_of is not None:
