@@ -15,10 +15,11 @@ HOT_GROUP_ROWS = 5_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], group_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
-    """Keys with more than `group_rows` rows, stored, as columns _hot_<key>; None when there are none."""
+    """Keys with more than `group_rows` rows and their row counts, stored, as columns _hot_<key>
+    and _n; None when there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = counts.where(F.col("_n") > group_rows)
-    hot = cut_lineage(large.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    hot = cut_lineage(large.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"))
     return None if hot.isEmpty() else hot
 
 
@@ -29,12 +30,14 @@ def _is_hot(keys: Sequence[str]) -> Column:
     return cond
 
 
-def range_chunks(df: DataFrame, order: Sequence[str], out: str = "_chunk") -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None, out: str = "_chunk") -> DataFrame:
     """Number contiguous, evenly sized ranges of the given order and store the result.
 
-    The range bounds are sampled once; storing the rows fixes the numbering for every later use.
+    Without `parts` adaptive execution chooses ranges of its advisory size. The range bounds are
+    sampled once; storing the rows fixes the numbering for every later use.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    columns = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
     return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
 
 
@@ -63,9 +66,10 @@ def with_neighbour(
     hot = hot_keys(df, keys, group_rows)
     if hot is None:
         return inside(df, []).select(*columns)
+    parts = -(-hot.agg(F.sum("_n")).first()[0] // group_rows) + 1
     hot = F.broadcast(hot)
     calm = inside(df.join(hot, _is_hot(keys), "left_anti"), [])
-    chunked = range_chunks(df.join(hot, _is_hot(keys), "left_semi"), [*keys, *order])
+    chunked = range_chunks(df.join(hot, _is_hot(keys), "left_semi"), [*keys, *order], parts)
     edge_of = F.min_by if step == 1 else F.max_by
     edges = chunked.groupBy(*keys, "_chunk").agg(edge_of(pick, F.struct(*order)).alias("_edge"))
     edges = edges.withColumn("_across", move("_edge", 1).over(Window.partitionBy(*keys).orderBy("_chunk")))
@@ -79,9 +83,11 @@ def with_neighbour(
     return calm.select(*columns).unionByName(split.select(*columns))
 
 
-def dense_index(df: DataFrame, order: Sequence[str], out: str, start: Column | int = 1) -> DataFrame:
+def dense_index(
+    df: DataFrame, order: Sequence[str], out: str, start: Column | int = 1, parts: int | None = None
+) -> DataFrame:
     """Number all rows start, start+1, ... in the given (unique) order without a single-task sort."""
-    chunked = range_chunks(df, order)
+    chunked = range_chunks(df, order, parts)
     sizes = chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     # one row per range partition
