@@ -223,7 +223,8 @@ FROM ({rows}) WHERE {k} % 7 <> 0"""
     )
 
 
-_LINE = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey + l_partkey AS k, l_orderkey, l_partkey"
+_LINE = """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS id,
+  l_orderkey + l_partkey AS k, l_orderkey, l_partkey"""
 _LINE_CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_in_cents"
 SILVER = {
     "silver_users": _silver("SELECT *, id AS k FROM s_users", "name"),

@@ -306,7 +306,8 @@ class _Build:
         )
 
     def _line_id(self) -> Column:
-        return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+        parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        return F.concat_ws("-", *parts, F.date_format("l_shipdate", "yyyyMMdd"))
 
     def current_rows(self, name: str) -> tuple[DataFrame, str, Column]:
         """Rows of one table, the column an update changes, and a number per row."""
