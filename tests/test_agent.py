@@ -106,7 +106,7 @@ def prompt_in_python(t, picked):
     return "\n".join(out)
 
 
-def test_prompts_equal_a_case_by_case_build(spark):
+def test_prompts_equal_a_case_by_case_build(spark, monkeypatch):
     t = desk(spark)
     picked = stored(agent.unanswered_messages(t), "picked")
     prompts = by_case(agent.case_prompts(t, picked, AS_OF))
@@ -114,6 +114,9 @@ def test_prompts_equal_a_case_by_case_build(spark):
         int.from_bytes(r["case_id"], "big"): prompt_in_python(t, r) for r in rows(picked)
     }
     assert prompts[1]["latest_order_cents"] == 1007
+    # so does a selection that is too large to broadcast
+    monkeypatch.setattr(agent, "SMALL_SELECTION", 0)
+    assert by_case(agent.case_prompts(t, picked, AS_OF)) == prompts
     # stored gold tables give the same prompts
     again = agent.case_prompts(
         t, picked, AS_OF, context=gold.support_case_context(t, AS_OF), profile=gold.user_support_profile(t, AS_OF)
