@@ -195,7 +195,7 @@ CURRENT = _q(
 QUALIFY lsn = max(lsn) OVER (PARTITION BY id) AND NOT gone"""
 )
 AS_OF_SQL = _q(
-    """SELECT id, value, props FROM (SELECT * FROM s_history WHERE lsn <= 900)
+    """SELECT id, value, props FROM (SELECT * FROM s_history WHERE lsn <= (SELECT max(lsn) // 2 FROM s_history))
 QUALIFY lsn = max(lsn) OVER (PARTITION BY id) AND NOT gone"""
 )
 SCD2 = _q(
@@ -204,7 +204,7 @@ FROM (SELECT *, lead(ts) OVER (PARTITION BY id ORDER BY lsn) AS next_ts FROM s_h
 )
 DIFF = _with(
     """old AS (
-  SELECT id, value, props FROM (SELECT * FROM s_history WHERE lsn <= 900) QUALIFY lsn = max(lsn) OVER (PARTITION BY id) AND NOT gone
+  SELECT id, value, props FROM (SELECT * FROM s_history WHERE lsn <= (SELECT max(lsn) // 2 FROM s_history)) QUALIFY lsn = max(lsn) OVER (PARTITION BY id) AND NOT gone
 ), new AS (
   SELECT id, value, props FROM s_history QUALIFY lsn = max(lsn) OVER (PARTITION BY id) AND NOT gone
 )""",
@@ -432,6 +432,7 @@ ORACLE: dict[str, str] = {
     "support_case_context": _q(CONTEXT_SELECT),
     "cdc_current_state": CURRENT,
     "cdc_current_state_stream": CURRENT,
+    "cdc_keyed_state_stream": CURRENT,
     "cdc_scd2": SCD2,
     "cdc_as_of": AS_OF_SQL,
     "cdc_diff": DIFF,

@@ -21,7 +21,7 @@ from opsloom.session import scratch_path, stored
 from opsloom.sources import store
 from opsloom.sources.history import read_history_stream
 from opsloom.sources.tables import Tables
-from opsloom.streaming.current_state import read_current_state, start_current_state
+from opsloom.streaming.current_state import keyed_state, read_current_state, start_current_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 EVENTS = cdc.Flow("events")
@@ -41,27 +41,27 @@ def _scd2(t: Tables) -> DataFrame:
 
 
 def _as_of(t: Tables) -> DataFrame:
+    """The state halfway through the history."""
     deleted = F.col("_change_type") == "delete"
-    return cdc.state_as_of(t["event_history"], ["id"], ["_lsn"], 900, deleted)
+    half = t["event_history"].agg(F.floor(F.max("_lsn") / 2)).scalar()
+    return cdc.state_as_of(t["event_history"], ["id"], ["_lsn"], half, deleted)
 
 
 def _diff(t: Tables) -> DataFrame:
-    deleted = F.col("_change_type") == "delete"
-    old = cdc.state_as_of(t["event_history"], ["id"], ["_lsn"], 900, deleted)
-    return cdc.diff_changes(old, EVENTS.current(t["event_history"]), ["id"]).withColumnRenamed("_change_type", "change")
+    return cdc.diff_changes(_as_of(t), EVENTS.current(t["event_history"]), ["id"]).withColumnRenamed("_change_type", "change")
 
 
 
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events file read as a stream, applied to a current-state table and read back."""
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events file as a stream of changes."""
     sample_tables(spark, folder)
     schema = T.StructType.fromDDL(RAW["events"])
     # a pattern, so that the table may be one file or a folder of files
     rows = read_history_stream(spark, f"{folder}/events.parque[t]", schema)
     kind = F.col("event_type")
-    history = rows.select(
+    return rows.select(
         F.col("user_id").alias("id"),
         "value",
         "props",
@@ -70,11 +70,29 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 7).alias("_xid"),
         F.col("ts").alias("_timestamp"),
     )
+
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A current-state table fed from the stream and read back."""
+    history = _event_stream(spark, folder)
     path = scratch_path(spark, "events-state")
     start_current_state(history, EVENTS, path, f"{path}/_checkpoint").awaitTermination()
     return read_current_state(spark, path, EVENTS, history.schema)
 
 
+def _keyed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the latest change per key held as streaming state."""
+    history = _event_stream(spark, folder)
+    path = scratch_path(spark, "events-keyed")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
+
+    query = keyed_state(history, EVENTS).writeStream.outputMode("update").foreachBatch(write)
+    query.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_current_state(spark, path, EVENTS, history.schema)
+
+
 def _current(name: str) -> Query:
     flow = cdc.build_flows(HISTORIES)[name]
     return _over(lambda t: flow.current(t[f"{name}_history"]))
@@ -262,6 +280,7 @@ QUERIES: dict[str, Query] = {
     # change histories
     "cdc_current_state": _over(lambda t: EVENTS.current(t["event_history"])),
     "cdc_current_state_stream": _stream,
+    "cdc_keyed_state_stream": _keyed_stream,
     "cdc_scd2": _over(_scd2),
     "cdc_as_of": _over(_as_of),
     "cdc_diff": _over(_diff),

@@ -25,10 +25,6 @@ def first_time(col: Column, where: Column) -> Column:
     return F.min(F.when(where, col))
 
 
-def any_of(cond: Column) -> Column:
-    return F.coalesce(F.bool_or(cond), F.lit(False))
-
-
 def amount(price: Column, quantity: Column) -> Column:
     """Price times quantity without integer overflow."""
     return price.cast("bigint") * quantity.cast("bigint")

@@ -70,7 +70,7 @@ def state_as_of(
     delete_when: Column | None = None,
     except_cols: Sequence[str] = CHANGE_COLUMNS,
 ) -> DataFrame:
-    """Current state as it was at sequence value `at` (of the first sequence column)."""
+    """Current state as it was at sequence value `at`, a value or Column, of the first sequence column."""
     return apply_scd1(history.where(F.col(seq[0]) <= F.lit(at)), keys, seq, delete_when, except_cols)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.functions.jsons import with_json
-from opsloom.functions.text import same_code
+from opsloom.functions.text import ends_with, same_code
 from opsloom.functions.times import local_hour, local_weekday, ntz_literal, older_than, valid_at
 from opsloom.functions.values import amount, literal_map, lookup, under_cap
 from opsloom.operators.ordered import HOT_GROUP_ROWS, with_neighbour
@@ -138,7 +138,9 @@ def promo_check(t: Tables, entered: DataFrame, as_of: dt.datetime | str, strict_
 
     Input: user_id, code. Codes are unique among promotions.
     """
-    promos = open_promotions(t, as_of, strict_cap).select(F.col("code").alias("_code"), F.col("id").alias("promotion_id"), "name", "discount_strategy")
+    promos = open_promotions(t, as_of, strict_cap).select(
+        F.col("code").alias("_code"), F.col("id").alias("promotion_id"), "name", "discount_strategy"
+    )
     return entered.join(promos, same_code(F.col("_code"), F.col("code")), "left").select(
         "user_id",
         "code",
@@ -194,7 +196,7 @@ def engagement_weights(t: Tables, as_of: dt.datetime | str, email_suffix: str |
     """Draw weight per user: 1, +3 (+1) if the last order is within 3 (7) days, x3 (x2) from 5 (2) orders."""
     users = t["users"].select(F.col("id").alias("user_id"), "email")
     if email_suffix is not None:
-        users = users.where(F.endswith("email", F.lit(email_suffix)))
+        users = users.where(ends_with(F.col("email"), email_suffix))
     stats = t["orders"].groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"), F.max("created_at").alias("latest"))
     now = ntz_literal(as_of)
 

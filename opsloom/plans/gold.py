@@ -59,9 +59,8 @@ def daily_revenue(t: Tables, refund_statuses: Sequence[str] = ("approved",)) ->
         .groupBy("order_date")
         .agg(sum_or_zero(F.col("cents")).alias("total_refunds_cents"))
     )
-    credits = (
-        t["credits"].groupBy(day(F.col("created_at")).alias("order_date")).agg(sum_or_zero(F.col("amount_in_cents")).alias("total_credits_cents"))
-    )
+    credits = t["credits"].groupBy(day(F.col("created_at")).alias("order_date"))
+    credits = credits.agg(sum_or_zero(F.col("amount_in_cents")).alias("total_credits_cents"))
     out = left_join_all(
         totals,
         [(item_measures_by_day(t), "order_date"), (refunds, "order_date"), (credits, "order_date")],
