@@ -40,7 +40,10 @@ class Flow:
 
     def current(self, history: DataFrame) -> DataFrame:
         """Current rows: the winners that are not deletes, without the change metadata."""
-        return self.winners(history).where(~self.delete_when).drop(*self.drop)
+        return self.live(self.winners(history))
+
+    def live(self, winners: DataFrame) -> DataFrame:
+        return winners.where(~self.delete_when).drop(*self.drop)
 
 
 def build_flows(names: Sequence[str], **settings) -> dict[str, Flow]:

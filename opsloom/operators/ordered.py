@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.session import cut_lineage
+from opsloom.session import stored
 
 # A key with more rows than this is spread over several tasks. It also bounds the broadcast
 # list of such keys: at most (rows / HOT_GROUP_ROWS) keys exist.
@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], group_rows: int = HOT_GROUP_ROW
     and _n; None when there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = counts.where(F.col("_n") > group_rows)
-    hot = cut_lineage(large.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"))
+    hot = stored(large.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -38,7 +38,7 @@ def range_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None,
     """
     columns = [F.col(c) for c in order]
     ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
-    return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
+    return stored(ranged.withColumn(out, F.spark_partition_id()), "ranges")
 
 
 def with_neighbour(

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Up to this many keys (a few megabytes) are broadcast to filter a large table while it is scanned.
+SMALL_KEYS = 200_000
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest `order` per key.
 
@@ -55,6 +59,19 @@ def measures_per_key(key: str, parts: Iterable[DataFrame], aggs: Mapping[str, Co
     return rows.groupBy(key).agg(*[c.alias(name) for name, c in aggs.items()])
 
 
+def only_keys_of(big: DataFrame, few: DataFrame, key: str, few_key: str | None = None, always: bool = False) -> DataFrame:
+    """`big` without rows whose key `few` does not hold, if `few` is small enough to broadcast.
+
+    `few` must be a stored table: it is counted. Beyond SMALL_KEYS rows `big` is cut down by a
+    shuffled semi join with always=True, and otherwise returned as it is, for the case that the
+    join that follows drops the rows by its own shuffle.
+    """
+    keys = few.select(F.col(few_key or key).alias(key)).distinct()
+    if few.count() <= SMALL_KEYS:
+        return big.join(F.broadcast(keys), key, "left_semi")
+    return big.join(keys, key, "left_semi") if always else big
+
+
 def unprocessed(df: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
     """Rows whose key is not in `done`."""
     return df.join(done.select(F.col(done_key or key).alias(key)), key, "left_anti")

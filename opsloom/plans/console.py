@@ -63,14 +63,17 @@ def _users(t: Tables) -> DataFrame:
     return t["users"].select(F.col("id").alias("user_id"), F.col("name").alias("user_name"), F.col("email").alias("user_email"))
 
 
-def case_queue(t: Tables, drafts: str = "drafts") -> DataFrame:
-    """All cases, newest first, with message stats and the latest suggestion."""
+def case_queue(t: Tables, drafts: str = "drafts", ordered: bool = True) -> DataFrame:
+    """All cases, newest first, with message stats and the latest suggestion.
+
+    ordered=False leaves out the sort, for results that are filtered or stored further.
+    """
     out = left_join_all(
         case_spine(t, _users(t)),
         [(console_message_stats(t), "case_id"), (latest_suggestion(t, drafts), "case_id")],
         {"message_count": 0, "has_admin_reply": False},
     )
-    return out.select(
+    out = out.select(
         "case_id",
         "user_id",
         "user_name",
@@ -84,7 +87,8 @@ def case_queue(t: Tables, drafts: str = "drafts") -> DataFrame:
         "suggested_action",
         "suggested_amount_cents",
         "case_summary",
-    ).orderBy(F.desc("case_created_at"), F.desc("case_id"))
+    )
+    return out.orderBy(F.desc("case_created_at"), F.desc("case_id")) if ordered else out
 
 
 def case_detail(t: Tables, as_of: dt.datetime | str, days: int = WINDOW_DAYS) -> DataFrame:

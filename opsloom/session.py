@@ -65,16 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to reliable checkpoint storage and continue from the stored rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table below the shared folder and continue from the stored rows.
 
-    Unlike a checkpoint the result has known file sizes, which later joins are planned by.
+    This cuts the lineage like a checkpoint, but computes df once, keeps columns prunable and
+    gives later joins true sizes.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

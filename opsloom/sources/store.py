@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.operators.rows import latest_per_key, unprocessed
+from opsloom.operators.rows import latest_per_key, only_keys_of, unprocessed
+from opsloom.session import stored
 
 VERSIONS = T.StructType([T.StructField("version", T.StringType())])
 
@@ -93,11 +94,13 @@ def new_rows(target: DataFrame, df: DataFrame, key: str, order: Sequence[str]) -
 def insert_new(path: str, df: DataFrame, key: str, order: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """Append the rows whose key is not stored yet; running it twice changes nothing.
 
-    One writer at a time, as with a scheduled job of concurrency one.
+    The batch is stored first. When it is small, the target is filtered by its keys while it is
+    scanned, so an append to a large table does not shuffle the table. One writer at a time, as
+    with a scheduled job of concurrency one.
     """
     spark = df.sparkSession
     schema = schema or df.schema
-    target = read_or_empty(spark, path, schema)
-    rows = new_rows(target, df.select(*schema.fieldNames()), key, order)
-    rows.write.mode("append").parquet(path)
+    batch = stored(df.select(*schema.fieldNames()), "batch")
+    target = only_keys_of(read_or_empty(spark, path, schema).select(key), batch, key)
+    new_rows(target, batch, key, order).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from opsloom.operators.cdc import Flow
+from opsloom.operators.rows import SMALL_KEYS
 from opsloom.sources.store import publish, published_version, read_or_empty, write_version
 
 
@@ -40,20 +41,32 @@ def start_current_state(
     return writer.start()
 
 
-def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Winners per key: the compacted base, if any, and every micro-batch after it."""
-    log = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    changes = read_or_empty(spark, f"{path}/changes", log)
+def _log_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+
+
+def read_winners(spark: SparkSession, path: str, flow: Flow, schema: T.StructType) -> DataFrame:
+    """The winning change per key, deletes included: the compacted base and the batches after it.
+
+    When few keys changed since the base was written, only their base rows are compared; all
+    other base rows are read as they are, without a shuffle.
+    """
+    changes = read_or_empty(spark, f"{path}/changes", _log_schema(schema))
     through = published_version(spark, f"{path}/base")
     if through is None:
-        return changes.drop("batch_id")
+        return flow.winners(changes.drop("batch_id"))
     base = spark.read.schema(schema).parquet(f"{path}/base/data/{through}")
-    return base.unionByName(changes.where(F.col("batch_id") > int(through)).drop("batch_id"))
+    changes = changes.where(F.col("batch_id") > int(through)).drop("batch_id")
+    if changes.count() > SMALL_KEYS:
+        return flow.winners(base.unionByName(changes))
+    changed = F.broadcast(changes.select(*flow.keys).distinct())
+    compared = flow.winners(base.join(changed, list(flow.keys), "left_semi").unionByName(changes))
+    return base.join(changed, list(flow.keys), "left_anti").unionByName(compared)
 
 
 def read_current_state(spark: SparkSession, path: str, flow: Flow, schema: T.StructType) -> DataFrame:
     """Current rows of a table fed by start_current_state."""
-    return flow.current(read_changes(spark, path, schema))
+    return flow.live(read_winners(spark, path, flow, schema))
 
 
 def compact(spark: SparkSession, path: str, flow: Flow, schema: T.StructType, through: int) -> None:
@@ -61,8 +74,8 @@ def compact(spark: SparkSession, path: str, flow: Flow, schema: T.StructType, th
 
     Deletes are kept. Readers switch to the new base when its version is published.
     """
-    log = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    done = spark.read.schema(log).parquet(f"{path}/changes").where(F.col("batch_id") <= through).drop("batch_id")
+    done = spark.read.schema(_log_schema(schema)).parquet(f"{path}/changes").where(F.col("batch_id") <= through)
+    done = done.drop("batch_id")
     previous = published_version(spark, f"{path}/base")
     if previous is not None:
         done = done.unionByName(spark.read.schema(schema).parquet(f"{path}/base/data/{previous}"))

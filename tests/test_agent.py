@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opsloom import schemas
 from opsloom.functions.jsons import parse_replies
+from opsloom.operators import rows as row_ops
 from opsloom.plans import agent, gold, jobs
 from opsloom.session import stored
 from tests.helpers import at, case, frame, key, message, order, rows, tables, user
@@ -70,6 +71,13 @@ def test_unanswered(spark):
     assert selected_ids(desk(spark, [draft(12, 1), draft(11, 1), draft(21, 2)])) == []
 
 
+def test_unanswered_among_too_many_cases_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(row_ops, "SMALL_KEYS", 0)
+    assert selected_ids(desk(spark)) == [12, 21]
+    assert selected_ids(desk(spark, [draft(12, 1)])) == [11, 21]
+    assert selected_ids(desk(spark, [draft(12, 1)]), strict=True) == [21]
+
+
 def by_case(df, column="case_id"):
     return {int.from_bytes(r[column], "big"): r for r in rows(df)}
 
@@ -115,7 +123,7 @@ def test_prompts_equal_a_case_by_case_build(spark, monkeypatch):
     }
     assert prompts[1]["latest_order_cents"] == 1007
     # so does a selection that is too large to broadcast
-    monkeypatch.setattr(agent, "SMALL_SELECTION", 0)
+    monkeypatch.setattr(row_ops, "SMALL_KEYS", 0)
     assert by_case(agent.case_prompts(t, picked, AS_OF)) == prompts
     # stored gold tables give the same prompts
     again = agent.case_prompts(

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -106,7 +107,9 @@ def test_stream_equals_batch(spark, tmp_path_factory, seed, parts):
     assert state(cs.read_current_state(spark, f"{folder}/t", FLOW, SCHEMA)) == expected(history)
 
 
-def test_late_row_after_delete_stays_deleted_across_batches_and_compaction(spark, tmp_path):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_late_row_after_delete_stays_deleted_across_batches_and_compaction(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(cs, "SMALL_KEYS", small)
     bronze, path, ckpt = (str(tmp_path / n) for n in ("bronze", "t", "ckpt"))
 
     def push(*changes):
@@ -128,7 +131,7 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     batch = spark.createDataFrame(CASES, SCHEMA)
     for _ in range(2):
         FLOW.winners(batch).write.mode("overwrite").parquet(f"{tmp_path}/changes/batch_id=0")
-    assert cs.read_changes(spark, str(tmp_path), SCHEMA).count() == 7
+    assert cs.read_winners(spark, str(tmp_path), FLOW, SCHEMA).count() == 7
 
 
 def test_keyed_streaming_aggregate_emits_the_same_winners(spark, tmp_path):
