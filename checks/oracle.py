@@ -512,7 +512,7 @@ FROM s_drafts GROUP BY ALL"""
         OVERVIEW_CTE,
         f"""SELECT case_date, CAST(total_cases AS VARCHAR) AS total_cases, open_cases || ' open' AS open_text,
   CAST(avg_first_response_minutes AS BIGINT) || 'm' AS response_text, CAST(cases_with_refund AS VARCHAR) AS refund_cases,
-  '$' || printf('%.2f', total_refund_cents / 100.0) || ' total' AS refund_text, printf('%.1f', avg_messages_per_case) AS avg_messages
+  '$' || printf('%.2f', total_refund_cents / 100.0) || ' total' AS refund_text, regexp_replace(printf('%.1f', avg_messages_per_case), '\\.0$', '') AS avg_messages
 FROM ({METRICS_SELECT}) ORDER BY case_date DESC LIMIT 1""",
     ),
     "queue_search": _with(
@@ -573,10 +573,16 @@ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
   coalesce(string_agg(p.code, ',' ORDER BY p.code), '') AS promo_codes
 FROM s_users u LEFT JOIN s_offers p ON p.region = u.region OR p.region IS NULL GROUP BY u.id, u.region"""
     ),
-    "promo_check": _q(
-        """SELECT c_custkey AS user_id, 'brand#' || c_custkey % 30 AS code, p.id IS NOT NULL AS valid, p.id AS promotion_id,
-  p.name AS promotion_name, p.discount_strategy
-FROM customer LEFT JOIN s_offers p ON p.code = upper('brand#' || c_custkey % 30)"""
+    "promo_check": _with(
+        """entered AS (
+  SELECT c_custkey AS user_id, 'brand#' || c_custkey % 30 AS code, c_custkey IN (SELECT o_custkey FROM orders) AS shopping FROM customer
+), matched AS (
+  SELECT e.user_id, e.code, e.shopping, p.id, p.name, p.discount_strategy
+  FROM entered e LEFT JOIN s_offers p ON p.code = upper(e.code) AND e.shopping
+)""",
+        """SELECT user_id, code, id IS NOT NULL AS valid,
+  CASE WHEN NOT shopping THEN 'no active cart' WHEN id IS NULL THEN 'invalid or expired' END AS problem,
+  id AS promotion_id, name AS promotion_name, discount_strategy FROM matched""",
     ),
     "promo_region_multipliers": _with(MULTIPLIERS, "SELECT * FROM multipliers"),
     "promo_discounts": _q("SELECT code, 'percentage_off' AS type, CAST(split_part(code, '#', 2) AS DOUBLE) AS percent FROM s_promotions"),

@@ -76,7 +76,7 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """A current-state table fed from the stream and read back."""
     history = _event_stream(spark, folder)
     path = scratch_path(spark, "events-state")
-    start_current_state(history, EVENTS, path, f"{path}/_checkpoint").awaitTermination()
+    start_current_state(history, EVENTS, path).awaitTermination()
     return read_current_state(spark, path, EVENTS, history.schema)
 
 

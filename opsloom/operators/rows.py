@@ -59,15 +59,22 @@ def measures_per_key(key: str, parts: Iterable[DataFrame], aggs: Mapping[str, Co
     return rows.groupBy(key).agg(*[c.alias(name) for name, c in aggs.items()])
 
 
-def only_keys_of(big: DataFrame, few: DataFrame, key: str, few_key: str | None = None, always: bool = False) -> DataFrame:
+def is_small(stored_table: DataFrame) -> bool:
+    """Whether the keys of a stored table may be broadcast; counts from the file footers."""
+    return stored_table.count() <= SMALL_KEYS
+
+
+def only_keys_of(
+    big: DataFrame, few: DataFrame, key: str, few_key: str | None = None, always: bool = False, small: bool | None = None
+) -> DataFrame:
     """`big` without rows whose key `few` does not hold, if `few` is small enough to broadcast.
 
-    `few` must be a stored table: it is counted. Beyond SMALL_KEYS rows `big` is cut down by a
+    `few` must be a stored table: it is counted, unless the caller passes the answer. Beyond SMALL_KEYS rows `big` is cut down by a
     shuffled semi join with always=True, and otherwise returned as it is, for the case that the
     join that follows drops the rows by its own shuffle.
     """
     keys = few.select(F.col(few_key or key).alias(key)).distinct()
-    if few.count() <= SMALL_KEYS:
+    if is_small(few) if small is None else small:
         return big.join(F.broadcast(keys), key, "left_semi")
     return big.join(keys, key, "left_semi") if always else big
 

@@ -134,20 +134,22 @@ def promos_for_users(t: Tables, as_of: dt.datetime | str, strict_cap: bool = Fal
 
 
 def promo_check(t: Tables, entered: DataFrame, as_of: dt.datetime | str, strict_cap: bool = False) -> DataFrame:
-    """Entered codes (any case) with the promotion they unlock, or valid = false.
+    """Entered codes (any case) with the promotion they unlock, or the problem with them.
 
-    Input: user_id, code. Codes are unique among promotions.
+    Input: user_id, code. Codes are unique among promotions; a customer needs a cart.
     """
     promos = open_promotions(t, as_of, strict_cap).select(
         F.col("code").alias("_code"), F.col("id").alias("promotion_id"), "name", "discount_strategy"
     )
-    return entered.join(promos, same_code(F.col("_code"), F.col("code")), "left").select(
-        "user_id",
-        "code",
-        F.col("promotion_id").isNotNull().alias("valid"),
-        "promotion_id",
-        F.col("name").alias("promotion_name"),
-        "discount_strategy",
+    carts = t["carts"].groupBy("user_id").agg(F.count(F.lit(1)).alias("_carts"))
+    out = entered.join(promos, same_code(F.col("_code"), F.col("code")), "left").join(carts, "user_id", "left")
+    problem = F.when(F.col("_carts").isNull(), "no active cart").when(F.col("promotion_id").isNull(), "invalid or expired")
+    found = [
+        F.when(F.col("problem").isNull(), F.col(column)).alias(name)
+        for column, name in (("promotion_id",) * 2, ("name", "promotion_name"), ("discount_strategy",) * 2)
+    ]
+    return out.withColumn("problem", problem).select(
+        "user_id", "code", F.col("problem").isNull().alias("valid"), "problem", *found
     )
 
 

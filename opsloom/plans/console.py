@@ -277,7 +277,8 @@ def kpi_latest(metrics: DataFrame) -> DataFrame:
         F.concat(F.col("avg_first_response_minutes").cast("bigint").cast("string"), F.lit("m")).alias("response_text"),
         F.col("cases_with_refund").cast("string").alias("refund_cases"),
         F.concat(dollars(F.col("total_refund_cents")), F.lit(" total")).alias("refund_text"),
-        F.format_string("%.1f", F.col("avg_messages_per_case")).alias("avg_messages"),
+        # whole numbers are shown without a fraction
+        F.regexp_replace(F.format_string("%.1f", F.col("avg_messages_per_case")), r"\.0$", "").alias("avg_messages"),
     )
 
 

@@ -25,16 +25,18 @@ def start_current_state(
     stream: DataFrame,
     flow: Flow,
     path: str,
-    checkpoint: str,
     every: str | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
-    """Run the flow on a change stream: once over what is available, or `every` interval."""
+    """Run the flow on a change stream: once over what is available, or `every` interval.
+
+    The stream's checkpoint is kept with the table, since batch numbers tie the two together.
+    """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         flow.winners(batch).write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{path}/_checkpoint")
     if name:
         writer = writer.queryName(name)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
@@ -72,7 +74,8 @@ def read_current_state(spark: SparkSession, path: str, flow: Flow, schema: T.Str
 def compact(spark: SparkSession, path: str, flow: Flow, schema: T.StructType, through: int) -> None:
     """Fold all micro-batches up to `through`, which must be finished, into one base.
 
-    Deletes are kept. Readers switch to the new base when its version is published.
+    Deletes are kept. Readers switch to the new base when its version is published; the folders
+    of the batches in it are not read any more and may be removed.
     """
     done = spark.read.schema(_log_schema(schema)).parquet(f"{path}/changes").where(F.col("batch_id") <= through)
     done = done.drop("batch_id")
@@ -101,7 +104,7 @@ def run_flows(
 ) -> list[StreamingQuery]:
     """Start one query per table; with no interval, wait until all have caught up."""
     queries = [
-        start_current_state(stream, flows[name], f"{folder}/{name}", f"{folder}/_checkpoints/{name}", every, name)
+        start_current_state(stream, flows[name], f"{folder}/{name}", every, name)
         for name, stream in streams.items()
     ]
     if every is None:

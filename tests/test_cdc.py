@@ -103,19 +103,19 @@ def test_stream_equals_batch(spark, tmp_path_factory, seed, parts):
     for i in range(parts):
         spark.createDataFrame(history[i::parts], SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/bronze")
     stream = read_history_stream(spark, f"{folder}/bronze", SCHEMA, files_per_batch=1)
-    cs.start_current_state(stream, FLOW, f"{folder}/t", f"{folder}/ckpt").awaitTermination()
+    cs.start_current_state(stream, FLOW, f"{folder}/t").awaitTermination()
     assert state(cs.read_current_state(spark, f"{folder}/t", FLOW, SCHEMA)) == expected(history)
 
 
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_late_row_after_delete_stays_deleted_across_batches_and_compaction(spark, tmp_path, monkeypatch, small):
     monkeypatch.setattr(cs, "SMALL_KEYS", small)
-    bronze, path, ckpt = (str(tmp_path / n) for n in ("bronze", "t", "ckpt"))
+    bronze, path = str(tmp_path / "bronze"), str(tmp_path / "t")
 
     def push(*changes):
         spark.createDataFrame(list(changes), SCHEMA).coalesce(1).write.mode("append").parquet(bronze)
         stream = read_history_stream(spark, bronze, SCHEMA)
-        cs.start_current_state(stream, FLOW, path, ckpt).awaitTermination()
+        cs.start_current_state(stream, FLOW, path).awaitTermination()
         return state(cs.read_current_state(spark, path, FLOW, SCHEMA))
 
     assert push(change(1, "a", "insert", 1), change(2, "b", "insert", 2)) == [(1, "a"), (2, "b")]
@@ -203,3 +203,25 @@ def test_flows_for_several_tables(spark, tmp_path):
     cs.run_flows(streams, flows, str(tmp_path / "silver"))
     for name in flows:
         assert len(state(cs.read_current_state(spark, f"{tmp_path}/silver/{name}", flows[name], SCHEMA))) == 5
+
+
+def test_continuous_flow_picks_up_new_changes(spark, tmp_path):
+    flows = cdc.build_flows(["t"])
+
+    def push(*changes):
+        spark.createDataFrame(list(changes), SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bronze")
+
+    def current():
+        return state(cs.read_current_state(spark, f"{tmp_path}/silver/t", FLOW, SCHEMA))
+
+    push(change(1, "a", "insert", 1))
+    stream = read_history_stream(spark, f"{tmp_path}/bronze", SCHEMA)
+    (query,) = cs.run_flows({"t": stream}, flows, f"{tmp_path}/silver", every="1 second")
+    try:
+        query.processAllAvailable()
+        assert current() == [(1, "a")]
+        push(change(1, "b", "update", 3), change(2, "x", "insert", 2))
+        query.processAllAvailable()
+        assert current() == [(1, "b"), (2, "x")]
+    finally:
+        query.stop()

@@ -79,6 +79,7 @@ def offers(spark):
     return tables(
         spark,
         users=[user(1, "us_east"), user(2, "eu_west"), user(3, None)],
+        carts=[cart(1, "u1"), cart(2, "u1"), cart(3, "u2")],
         promotions=[
             promo(1, "ALL"),
             promo(2, "EAST", "us_east", traffic=150),
@@ -98,9 +99,13 @@ def test_promos(spark):
     }
     strict = {r["user_id"]: r["promo_codes"] for r in rows(commerce.promos_for_users(t, NOW, strict_cap=True))}
     assert strict["u1"] == "ALL,EAST,LAST"
-    entered = spark.createDataFrame([("u1", "east"), ("u2", "East"), ("u2", "full"), ("u3", "none")], "user_id string, code string")
-    assert {(r["user_id"], r["code"]): r["valid"] for r in rows(commerce.promo_check(t, entered, NOW))} == {
-        ("u1", "east"): True, ("u2", "East"): True, ("u2", "full"): False, ("u3", "none"): False,
+    entered = spark.createDataFrame([("u1", "east"), ("u2", "East"), ("u2", "full"), ("u1", "none"), ("u3", "all")], "user_id string, code string")
+    assert {(r["user_id"], r["code"]): (r["valid"], r["problem"], r["promotion_name"]) for r in rows(commerce.promo_check(t, entered, NOW))} == {
+        ("u1", "east"): (True, None, "EAST"),
+        ("u2", "East"): (True, None, "EAST"),
+        ("u2", "full"): (False, "invalid or expired", None),
+        ("u1", "none"): (False, "invalid or expired", None),
+        ("u3", "all"): (False, "no active cart", None),
     }
     assert {r["region"]: r["multiplier"] for r in rows(commerce.promo_region_multipliers(t, NOW))} == {"global": 1.0, "us_east": 1.5}
 

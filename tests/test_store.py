@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from opsloom.plans import jobs
 from opsloom.session import shared_folder
 from opsloom.sources import store
+from opsloom.sources.tables import Tables
 
 
 def values(df):
@@ -60,3 +61,11 @@ def test_missing_table_is_empty_but_other_errors_are_not_hidden(spark, tmp_path)
     assert store.read_or_empty(spark, str(tmp_path / "none"), schema).count() == 0
     with pytest.raises(Exception):
         store.read_or_empty(spark, str(tmp_path), schema, "no_such_format").where(F.col("id") > 0).count()
+
+
+def test_tables_by_folder(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/numbers")
+    t = Tables.from_parquet(spark, str(tmp_path), ["numbers"])
+    assert "numbers" in t and "other" not in t
+    assert t["numbers"].count() == 3
+    assert t.with_tables(other=spark.range(1))["other"].count() == 1
