@@ -38,6 +38,17 @@ def agg_per_key(df: DataFrame, key: str, as_key: str | None = None, where: Colum
     return rows.groupBy(F.col(key).alias(as_key or key)).agg(*[c.alias(name) for name, c in aggs.items()])
 
 
+def join_unique(big: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join rows whose key may be hot to a side with unique, non-null keys.
+
+    Adaptive execution can split a hot key only where both inputs come straight from a shuffle.
+    A side that was just aggregated or joined by the same key would keep its partitioning and
+    prevent that; the null-safe comparison makes both sides take a shuffle of their own.
+    """
+    right = side.withColumnRenamed(key, "_side_key")
+    return big.join(right, F.col(key).eqNullSafe(F.col("_side_key")), how).drop("_side_key")
+
+
 def left_join_all(spine: DataFrame, parts: Iterable[tuple[DataFrame, str]], defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Left join parts with unique keys onto a spine; `defaults` fill what did not match."""
     out = spine
@@ -79,6 +90,12 @@ def only_keys_of(
     return big.join(keys, key, "left_semi") if always else big
 
 
+def without_keys_of(big: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """`big` without the keys of a stored table, which are broadcast if they are few."""
+    keys = few.select(key)
+    return big.join(F.broadcast(keys) if is_small(few) else keys, key, "left_anti")
+
+
 def unprocessed(df: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
     """Rows whose key is not in `done`."""
     return df.join(done.select(F.col(done_key or key).alias(key)), key, "left_anti")
@@ -113,11 +130,11 @@ def flag_latest(df: DataFrame, key: str, order: Sequence[str], out: str) -> Data
 
 def first_reply_after_last(df: DataFrame, key: str, ts: str, is_question: Column, is_reply: Column) -> DataFrame:
     """Per key with a question: the last question's time and the first later reply's time, if any."""
-    marked = df.select(key, F.col(ts).alias("_ts"), is_question.alias("_q"), is_reply.alias("_r"))
+    marked = df.where(F.col(key).isNotNull())
+    marked = marked.select(key, F.col(ts).alias("_ts"), is_question.alias("_q"), is_reply.alias("_r"))
     last = marked.where("_q").groupBy(key).agg(F.max("_ts").alias("last_question_at"))
     replies = (
-        marked.where("_r")
-        .join(last, key)
+        join_unique(marked.where("_r"), last, key)
         .where(F.col("_ts") > F.col("last_question_at"))
         .groupBy(key)
         .agg(F.min("_ts").alias("first_reply_at"))

@@ -13,7 +13,7 @@ from opsloom.functions.text import ends_with, same_code
 from opsloom.functions.times import local_hour, local_weekday, ntz_literal, older_than, valid_at
 from opsloom.functions.values import amount, literal_map, lookup, under_cap
 from opsloom.operators.ordered import HOT_GROUP_ROWS, with_neighbour
-from opsloom.operators.rows import active_version, left_join_all, top_n_per_key
+from opsloom.operators.rows import active_version, join_unique, left_join_all, top_n_per_key
 from opsloom.schemas import RUN_COUNTERS
 from opsloom.session import stored
 from opsloom.sources.tables import Tables
@@ -127,7 +127,7 @@ def promos_for_users(t: Tables, as_of: dt.datetime | str, strict_cap: bool = Fal
     users = t["users"].select(F.col("id").alias("user_id"), F.coalesce("region", F.lit("")).alias("region"))
     none = F.array().cast("array<string>")
     listed = F.sort_array(F.concat(F.coalesce("_own", none), F.coalesce(everywhere, none)))
-    out = left_join_all(users, [(per_region, "region")]).withColumn("_codes", listed)
+    out = join_unique(users, per_region, "region", "left").withColumn("_codes", listed)
     return out.select(
         "user_id", "region", F.size("_codes").alias("promo_count"), F.array_join("_codes", ",").alias("promo_codes")
     )
@@ -141,8 +141,9 @@ def promo_check(t: Tables, entered: DataFrame, as_of: dt.datetime | str, strict_
     promos = open_promotions(t, as_of, strict_cap).select(
         F.col("code").alias("_code"), F.col("id").alias("promotion_id"), "name", "discount_strategy"
     )
-    carts = t["carts"].groupBy("user_id").agg(F.count(F.lit(1)).alias("_carts"))
-    out = entered.join(promos, same_code(F.col("_code"), F.col("code")), "left").join(carts, "user_id", "left")
+    carts = t["carts"].where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_carts"))
+    out = entered.join(promos, same_code(F.col("_code"), F.col("code")), "left")
+    out = join_unique(out, carts, "user_id", "left")
     problem = F.when(F.col("_carts").isNull(), "no active cart").when(F.col("promotion_id").isNull(), "invalid or expired")
     found = [
         F.when(F.col("problem").isNull(), F.col(column)).alias(name)
@@ -268,7 +269,7 @@ def regional_demand(
     grid = times.select("at_utc", F.inline(regions))
     # a multiplier may exist for any region name, but only the configured regions are kept
     known = multipliers.where(F.col("region").isin(*geo)).withColumnRenamed("multiplier", "promo_factor")
-    grid = left_join_all(grid, [(known, "region")], {"promo_factor": 1.0})
+    grid = join_unique(grid, known, "region", "left").withColumn("promo_factor", F.coalesce("promo_factor", F.lit(1.0)))
     if apply_global:
         everywhere = multipliers.where(F.col("region") == "global").agg(F.max("multiplier")).scalar()
         grid = grid.withColumn("promo_factor", F.greatest("promo_factor", F.coalesce(everywhere, F.lit(1.0))))

@@ -21,6 +21,7 @@ from opsloom.operators.rows import (
     agg_per_key,
     first_reply_after_last,
     flag_latest,
+    join_unique,
     left_join_all,
     split_valid,
 )
@@ -203,7 +204,7 @@ def decisions_applied(t: Tables, decisions: DataFrame, history: DataFrame | None
     newest = orders.groupBy("user_id").agg(
         F.max_by(F.struct(F.col("id").alias("order_id"), "total_in_cents"), F.struct("created_at", "id")).alias("o")
     )
-    refunds = refunding.join(newest.select("user_id", "o.*"), "user_id").select(
+    refunds = join_unique(refunding, newest.select("user_id", "o.*"), "user_id").select(
         "user_id",
         "order_id",
         F.col("case_id").alias("support_case_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.times import day, since_day, whole_minutes
 from opsloom.functions.values import amount, count_where, first_time, or_zero, sum_or_zero
-from opsloom.operators.rows import agg_per_key, left_join_all, measures_per_key
+from opsloom.operators.rows import agg_per_key, join_unique, left_join_all, measures_per_key
 from opsloom.sources.tables import Tables
 
 WINDOW_DAYS = 90
@@ -225,12 +225,11 @@ def user_facts(t: Tables, recent: Column) -> DataFrame:
 
 
 def case_spine(t: Tables, facts: DataFrame) -> DataFrame:
-    """Cases with their user's facts: one skew-safe join on the user, before the joins on the case."""
-    return (
-        t["support_cases"]
-        .select(F.col("id").alias("case_id"), "user_id", "subject", "status", F.col("created_at").alias("case_created_at"))
-        .join(facts, "user_id")
+    """Cases with their user's facts: one join on the possibly hot user, before the joins on the case."""
+    cases = t["support_cases"].select(
+        F.col("id").alias("case_id"), "user_id", "subject", "status", F.col("created_at").alias("case_created_at")
     )
+    return join_unique(cases, facts, "user_id")
 
 
 def support_case_context(t: Tables, as_of: dt.date | str, days: int = WINDOW_DAYS) -> DataFrame:

@@ -39,12 +39,15 @@ def desk(spark, drafts=()):
     return tables(
         spark,
         users=[user(1), user(2, None)],
-        orders=[order(i, "u1", 1000 + i, f"2024-05-{i:02d} 10:30:00", "delivered") for i in range(1, 8)],
+        orders=[order(i, "u1", 1000 + i, f"2024-05-{i:02d} 10:30:00", "delivered") for i in range(1, 8)]
+        + [order(9, "u9", 77, "2024-05-01 10:30:00")],
         support_cases=[
             case(1, "u1", "2024-05-01 10:00:00", "open"),
             case(2, "u2", "2024-05-02 10:00:00", "in_progress", "Missing items"),
             case(3, "u1", "2024-05-03 10:00:00", "resolved"),
             case(4, "u1", "2024-05-04 10:00:00", "open"),
+            # a customer who is not (yet) among the users, with an order
+            case(5, "u9", "2024-05-05 10:00:00", "open"),
         ],
         support_messages=[
             message(11, 1, "2024-05-01 10:01:00", text="first"),
@@ -52,6 +55,7 @@ def desk(spark, drafts=()):
             message(13, 1, "2024-05-01 10:09:00", admin=9, text="answer"),
             message(21, 2, "2024-05-02 10:01:00", text="line one\nline two"),
             message(31, 3, "2024-05-03 10:01:00"),
+            message(51, 5, "2024-05-05 10:01:00"),
         ],
         drafts=list(drafts),
     )
@@ -62,20 +66,20 @@ def selected_ids(t, **kw):
 
 
 def test_unanswered(spark):
-    assert selected_ids(desk(spark)) == [12, 21]
-    assert selected_ids(desk(spark), strict=True) == [21]
+    assert selected_ids(desk(spark)) == [12, 21, 51]
+    assert selected_ids(desk(spark), strict=True) == [21, 51]
     drafted = desk(spark, [draft(12, 1)])
     # the drafted message is removed before the latest is taken
-    assert selected_ids(drafted) == [11, 21]
-    assert selected_ids(drafted, strict=True) == [21]
-    assert selected_ids(desk(spark, [draft(12, 1), draft(11, 1), draft(21, 2)])) == []
+    assert selected_ids(drafted) == [11, 21, 51]
+    assert selected_ids(drafted, strict=True) == [21, 51]
+    assert selected_ids(desk(spark, [draft(12, 1), draft(11, 1), draft(21, 2)])) == [51]
 
 
 def test_unanswered_among_too_many_cases_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(row_ops, "SMALL_KEYS", 0)
-    assert selected_ids(desk(spark)) == [12, 21]
-    assert selected_ids(desk(spark, [draft(12, 1)])) == [11, 21]
-    assert selected_ids(desk(spark, [draft(12, 1)]), strict=True) == [21]
+    assert selected_ids(desk(spark)) == [12, 21, 51]
+    assert selected_ids(desk(spark, [draft(12, 1)])) == [11, 21, 51]
+    assert selected_ids(desk(spark, [draft(12, 1)]), strict=True) == [21, 51]
 
 
 def by_case(df, column="case_id"):
@@ -229,10 +233,10 @@ def test_agent_job_is_idempotent(spark, tmp_path):
 
     first = run()
     assert [f.dataType for f in first.schema] == [f.dataType for f in schemas.AGENT_RESPONSE_SCHEMA]
-    assert selected_of(first) == [12, 21]
+    assert selected_of(first) == [12, 21, 51]
     # the newest message has a draft now, so the older one of case 1 is next; then nothing is left
-    assert selected_of(run()) == [11, 12, 21]
-    assert selected_of(run()) == [11, 12, 21]
+    assert selected_of(run()) == [11, 12, 21, 51]
+    assert selected_of(run()) == [11, 12, 21, 51]
     assert spark.read.parquet(f"{tmp_path}/agent_quarantine").count() == 0
 
 
