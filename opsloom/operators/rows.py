@@ -39,7 +39,7 @@ def agg_per_key(df: DataFrame, key: str, as_key: str | None = None, where: Colum
 
 
 def join_unique(big: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join rows whose key may be hot to a side with unique, non-null keys.
+    """Join rows whose key may be hot to a side with unique, non-null keys (any join of the left side).
 
     Adaptive execution can split a hot key only where both inputs come straight from a shuffle.
     A side that was just aggregated or joined by the same key would keep its partitioning and
@@ -87,7 +87,7 @@ def only_keys_of(
     keys = few.select(F.col(few_key or key).alias(key)).distinct()
     if is_small(few) if small is None else small:
         return big.join(F.broadcast(keys), key, "left_semi")
-    return big.join(keys, key, "left_semi") if always else big
+    return join_unique(big, keys, key, "left_semi") if always else big
 
 
 def without_keys_of(big: DataFrame, few: DataFrame, key: str) -> DataFrame:

@@ -27,8 +27,8 @@ def order_detail(t: Tables) -> DataFrame:
     orders = t["orders"].select(
         F.col("id").alias("order_id"), "user_id", "status", "total_in_cents", F.col("created_at").alias("ordered_at")
     )
-    items = t["order_items"].join(menu, "menu_item_id")
-    return items.join(orders, "order_id").select(
+    items = join_unique(t["order_items"], menu, "menu_item_id")
+    return join_unique(items, orders, "order_id").select(
         "order_id", "user_id", "status", "total_in_cents", "ordered_at", "menu_item_id", "name", "quantity", "price_in_cents"
     )
 
@@ -45,7 +45,8 @@ def user_orders(t: Tables, n: int | None = None) -> DataFrame:
 def cart_lines(t: Tables) -> DataFrame:
     """Cart items at the current menu price; items without a menu row are left out."""
     menu = t["menu_items"].select(F.col("id").alias("menu_item_id"), "name", "price_in_cents")
-    return t["cart_items"].join(menu, "menu_item_id").select("cart_id", "menu_item_id", "name", "quantity", "price_in_cents")
+    lines = join_unique(t["cart_items"], menu, "menu_item_id")
+    return lines.select("cart_id", "menu_item_id", "name", "quantity", "price_in_cents")
 
 
 def cart_pricing(t: Tables) -> DataFrame:
@@ -91,7 +92,7 @@ def cart_line_merge(adds: DataFrame) -> DataFrame:
 def delivery_board(t: Tables) -> DataFrame:
     """Deliveries with their driver's name."""
     drivers = t["drivers"].select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
-    return t["deliveries"].join(drivers, "driver_id").select(
+    return join_unique(t["deliveries"], drivers, "driver_id").select(
         "id", "order_id", "driver_id", "status", "started_at", "delivered_at", "driver_name"
     )
 
@@ -177,7 +178,7 @@ def drop_stale_carts(t: Tables, as_of: dt.datetime | str, idle_minutes: int = 12
     stale = stale_carts(t, as_of, idle_minutes).select(F.col("id").alias("cart_id"))
     return {
         "carts": t["carts"].where(~F.coalesce(older_than(F.col("updated_at"), as_of, idle_minutes), F.lit(False))),
-        "cart_items": t["cart_items"].join(stale, "cart_id", "left_anti"),
+        "cart_items": join_unique(t["cart_items"], stale, "cart_id", "left_anti"),
     }
 
 

@@ -25,13 +25,12 @@ def item_measures_by_day(t: Tables) -> DataFrame:
     """
     order_days = t["orders"].select(F.col("id").alias("order_id"), day(F.col("created_at")).alias("order_date"))
     menu = t["menu_items"].select(F.col("id").alias("menu_item_id"), "category", F.lit(True).alias("on_menu"))
-    by_category = (
-        t["order_items"]
-        .select("order_id", "menu_item_id", "quantity", amount(F.col("price_in_cents"), F.col("quantity")).alias("cents"))
-        .join(menu, "menu_item_id", "left")
-        .join(order_days, "order_id")
-        .groupBy("order_date", "on_menu", "category")
-        .agg(F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents"))
+    items = t["order_items"].select(
+        "order_id", "menu_item_id", "quantity", amount(F.col("price_in_cents"), F.col("quantity")).alias("cents")
+    )
+    dated = join_unique(join_unique(items, menu, "menu_item_id", "left"), order_days, "order_id")
+    by_category = dated.groupBy("order_date", "on_menu", "category").agg(
+        F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents")
     )
     best = F.min_by(F.col("category"), F.when(F.col("on_menu"), F.struct(-F.col("cents"), F.col("category"))))
     return by_category.groupBy("order_date").agg(F.sum("quantity").alias("items_sold"), best.alias("top_category"))
@@ -48,14 +47,15 @@ def daily_revenue(t: Tables, refund_statuses: Sequence[str] = ("approved",)) ->
         F.count_distinct("id").alias("total_orders"),
         F.sum(F.col("total_in_cents").cast("bigint")).alias("gross_revenue_cents"),
     )
+    refunded = agg_per_key(
+        t["refunds"],
+        "order_id",
+        where=F.col("status").isin(*refund_statuses),
+        cents=F.sum(F.col("amount_in_cents").cast("bigint")),
+    )
+    # the same join as for the items, so that the shuffle of the orders is reused
     refunds = (
-        agg_per_key(
-            t["refunds"],
-            "order_id",
-            where=F.col("status").isin(*refund_statuses),
-            cents=F.sum(F.col("amount_in_cents").cast("bigint")),
-        )
-        .join(orders.select(F.col("id").alias("order_id"), "order_date"), "order_id")
+        join_unique(refunded, orders.select(F.col("id").alias("order_id"), "order_date"), "order_id")
         .groupBy("order_date")
         .agg(sum_or_zero(F.col("cents")).alias("total_refunds_cents"))
     )
