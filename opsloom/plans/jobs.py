@@ -43,7 +43,8 @@ def run_agent(
     path = f"{folder}/agent_responses"
     drafts = store.read_or_empty(t.spark, path, schema)
     parsed = agent.agent_run(t.with_tables(drafts=drafts), responder, model, as_of, generated_at)
-    agent.quarantined(parsed).write.mode("append").parquet(f"{folder}/agent_quarantine")
+    # a rejected message stays unanswered and is tried again by later batches; it is listed once
+    store.insert_new(f"{folder}/agent_quarantine", agent.quarantined(parsed), "message_id", ["message_id"])
     return store.insert_new(path, agent.accepted(parsed), "message_id", RESPONSE_ORDER, schema)
 
 

@@ -272,3 +272,16 @@ def test_policy(spark):
     assert policy(spark, status="resolved", refund=5, orders=[1000]) == ("no_action", 0)
     assert policy(spark, text=agent.THANKS[0], admin=True, orders=[1000]) == ("resolve", 0)
     assert policy(spark, text=agent.THANKS[0], orders=[1000]) == ("credit", 150)
+
+
+def test_rejected_messages_are_listed_once_and_tried_again(spark, tmp_path):
+    t = desk(spark)
+
+    def run(reply):
+        return jobs.run_agent(t, lambda prompts: [reply] * len(prompts), "m", AS_OF, now(), str(tmp_path), schemas.AGENT_RESPONSE_SCHEMA)
+
+    assert run("no json").count() == run("no json").count() == 0
+    rejected = spark.read.parquet(f"{tmp_path}/agent_quarantine")
+    assert selected_of(rejected) == [12, 21, 51]
+    assert {r["reject_reason"] for r in rows(rejected)} == {"not json"}
+    assert selected_of(run("{}")) == [12, 21, 51]

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from opsloom.operators.ordered import dense_index, hot_keys, range_chunks, with_neighbour
+from opsloom.operators import rows
 from opsloom.operators.rows import first_reply_after_last, flag_latest, latest_per_key, split_valid, top_n_per_key
 
 
@@ -83,3 +84,22 @@ def test_first_reply_after_last(spark):
     df = spark.createDataFrame(data, "k string, t int, q boolean")
     got = first_reply_after_last(df, "k", "t", F.col("q"), ~F.col("q"))
     assert {tuple(r) for r in got.collect()} == {("a", 3, 4), ("b", 1, None)}
+
+
+def test_join_unique(spark):
+    big = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    side = spark.createDataFrame([(1, "x"), (3, "y")], "k int, w string")
+    assert {tuple(r) for r in rows.join_unique(big, side, "k").collect()} == {(1, "a", "x"), (1, "b", "x")}
+    left = rows.join_unique(big, side, "k", "left")
+    assert {tuple(r) for r in left.collect()} == {(1, "a", "x"), (1, "b", "x"), (2, "c", None), (None, "d", None)}
+    assert {r.v for r in rows.join_unique(big, side, "k", "left_anti").collect()} == {"c", "d"}
+
+
+def test_key_filters_with_and_without_broadcast(spark, monkeypatch):
+    big = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    few = spark.createDataFrame([(1,), (1,)], "k int")
+    for limit in (10, 0):
+        monkeypatch.setattr(rows, "SMALL_KEYS", limit)
+        assert {r.v for r in rows.only_keys_of(big, few, "k", always=True).collect()} == {"a", "b"}
+        assert {r.v for r in rows.without_keys_of(big, few, "k").collect()} == {"c", "d"}
+    assert rows.only_keys_of(big, few, "k").count() == 4
