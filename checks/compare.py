@@ -26,8 +26,6 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if isinstance(value, float):
-        return round(value, 9)
     if isinstance(value, Decimal):
         return float(value)
     return value
