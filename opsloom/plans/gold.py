@@ -16,6 +16,12 @@ from opsloom.sources.tables import Tables
 WINDOW_DAYS = 90
 
 
+def order_days(t: Tables) -> DataFrame:
+    """Order ids with their day. Used alike by several joins, so that its shuffle is reused."""
+    days = t["orders"].select(F.col("id").alias("order_id"), day(F.col("created_at")).alias("order_date"))
+    return days.where(F.col("order_date").isNotNull())
+
+
 def item_measures_by_day(t: Tables) -> DataFrame:
     """Per order day: quantity sold, and the category with the highest revenue.
 
@@ -23,12 +29,11 @@ def item_measures_by_day(t: Tables) -> DataFrame:
     there. An item without a menu row counts as sold but belongs to no category. Equal
     revenues go to the first category by name.
     """
-    order_days = t["orders"].select(F.col("id").alias("order_id"), day(F.col("created_at")).alias("order_date"))
     menu = t["menu_items"].select(F.col("id").alias("menu_item_id"), "category", F.lit(True).alias("on_menu"))
     items = t["order_items"].select(
         "order_id", "menu_item_id", "quantity", amount(F.col("price_in_cents"), F.col("quantity")).alias("cents")
     )
-    dated = join_unique(join_unique(items, menu, "menu_item_id", "left"), order_days, "order_id")
+    dated = join_unique(join_unique(items, menu, "menu_item_id", "left"), order_days(t), "order_id")
     by_category = dated.groupBy("order_date", "on_menu", "category").agg(
         F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents")
     )
@@ -43,29 +48,30 @@ def daily_revenue(t: Tables, refund_statuses: Sequence[str] = ("approved",)) ->
     appear. Orders of every status count.
     """
     orders = t["orders"].select("id", day(F.col("created_at")).alias("order_date"), "total_in_cents")
-    totals = orders.groupBy("order_date").agg(
-        F.count_distinct("id").alias("total_orders"),
-        F.sum(F.col("total_in_cents").cast("bigint")).alias("gross_revenue_cents"),
-    )
+    # one row per distinct order and day
+    per_order = orders.groupBy("order_date", "id").agg(F.sum(F.col("total_in_cents").cast("bigint")).alias("gross"))
+    placed = per_order.select("order_date", "gross", F.lit(1).alias("placed"), F.when(F.col("id").isNotNull(), 1).alias("order"))
     refunded = agg_per_key(
         t["refunds"],
         "order_id",
         where=F.col("status").isin(*refund_statuses),
-        cents=F.sum(F.col("amount_in_cents").cast("bigint")),
-    )
-    # the same join as for the items, so that the shuffle of the orders is reused
-    refunds = (
-        join_unique(refunded, orders.select(F.col("id").alias("order_id"), "order_date"), "order_id")
-        .groupBy("order_date")
-        .agg(sum_or_zero(F.col("cents")).alias("total_refunds_cents"))
-    )
-    credits = t["credits"].groupBy(day(F.col("created_at")).alias("order_date"))
-    credits = credits.agg(sum_or_zero(F.col("amount_in_cents")).alias("total_credits_cents"))
-    out = left_join_all(
-        totals,
-        [(item_measures_by_day(t), "order_date"), (refunds, "order_date"), (credits, "order_date")],
-        {"total_refunds_cents": 0, "total_credits_cents": 0, "items_sold": 0},
+        refunds=F.sum(F.col("amount_in_cents").cast("bigint")),
     )
+    refunded = join_unique(refunded, order_days(t), "order_id")
+    credited = t["credits"].select(day(F.col("created_at")).alias("order_date"), F.col("amount_in_cents").alias("credits"))
+    credited = credited.where(F.col("order_date").isNotNull())
+    totals = measures_per_key(
+        "order_date",
+        [placed, refunded.select("order_date", "refunds"), credited],
+        {
+            "days_orders": F.count("placed"),
+            "total_orders": F.count("order"),
+            "gross_revenue_cents": F.sum("gross"),
+            "total_refunds_cents": sum_or_zero(F.col("refunds")),
+            "total_credits_cents": sum_or_zero(F.col("credits")),
+        },
+    ).where(F.col("days_orders") > 0)
+    out = left_join_all(totals, [(item_measures_by_day(t), "order_date")], {"items_sold": 0})
     gross = F.col("gross_revenue_cents")
     return out.select(
         "order_date",
