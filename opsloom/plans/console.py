@@ -15,41 +15,29 @@ from pyspark.sql import functions as F
 from opsloom.functions.ids import id_text
 from opsloom.functions.text import dollars, elapsed, matches_search, response_time, time_ago
 from opsloom.functions.times import ntz_literal, rounded_minutes, since_instant, whole_minutes, whole_seconds
-from opsloom.functions.values import first_time, in_domain, or_zero, role
+from opsloom.functions.values import in_domain, or_zero, role
 from opsloom.operators.ordered import dense_index
 from opsloom.operators.rows import (
-    agg_per_key,
     first_reply_after_last,
     flag_latest,
     join_unique,
     left_join_all,
     split_valid,
 )
-from opsloom.plans.gold import USER_COUNTERS, WINDOW_DAYS, case_spine, linked_compensation, user_facts, user_measures
+from opsloom.plans.gold import USER_COUNTERS, WINDOW_DAYS, case_measures, case_spine, user_facts, user_measures
 from opsloom.schemas import ACTIONS, CASE_STATUSES
 from opsloom.sources.tables import Tables
 
 CLOSED_SECTION = ("resolved", "closed")
 
 
-def console_message_stats(t: Tables) -> DataFrame:
+def console_message_stats(t: Tables, compensation: bool = False) -> DataFrame:
     """Per case: message count, admin reply flag, minutes from the first message of any kind to
     the first admin message (rounded; this differs from the gold definition)."""
-    is_admin = F.col("admin_id").isNotNull()
-    stats = agg_per_key(
-        t["support_messages"],
-        "case_id",
-        message_count=F.count(F.lit(1)).cast("int"),
-        has_admin_reply=F.bool_or(is_admin),
-        first_at=F.min("created_at"),
-        first_reply_at=first_time(F.col("created_at"), is_admin),
-    )
-    return stats.select(
-        "case_id",
-        "message_count",
-        "has_admin_reply",
-        rounded_minutes(F.col("first_at"), F.col("first_reply_at")).alias("first_response_minutes"),
-    )
+    stats = case_measures(t, compensation)
+    waited = rounded_minutes(F.col("first_message_at"), F.col("first_reply_at")).alias("first_response_minutes")
+    linked = ["linked_refund_cents", "linked_credit_cents"] if compensation else []
+    return stats.select("case_id", F.col("message_count").cast("int").alias("message_count"), "has_admin_reply", waited, *linked)
 
 
 def latest_suggestion(t: Tables, drafts: str = "drafts") -> DataFrame:
@@ -96,7 +84,7 @@ def case_detail(t: Tables, as_of: dt.datetime | str, days: int = WINDOW_DAYS) ->
     """Case, user, message stats, linked compensation and user history (instant window)."""
     out = left_join_all(
         case_spine(t, user_facts(t, since_instant(F.col("created_at"), as_of, days))),
-        [(console_message_stats(t), "case_id"), (linked_compensation(t), "case_id")],
+        [(console_message_stats(t, compensation=True), "case_id")],
         {"message_count": 0, "has_admin_reply": False},
     )
     return out.select(

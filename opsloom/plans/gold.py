@@ -86,41 +86,40 @@ def daily_revenue(t: Tables, refund_statuses: Sequence[str] = ("approved",)) ->
     )
 
 
-def message_measures(t: Tables) -> DataFrame:
-    """Per case: message count, first and last message, first admin reply."""
+def case_measures(t: Tables, compensation: bool = True) -> DataFrame:
+    """Per case: message count and times, first admin reply and, on request, refunds and credits.
+
+    Messages, refunds and credits are aggregated together, with one shuffle by case.
+    """
     is_admin = F.col("admin_id").isNotNull()
-    return agg_per_key(
-        t["support_messages"],
+    messages = t["support_messages"].where(F.col("case_id").isNotNull()).select(
         "case_id",
-        message_count=F.count(F.lit(1)),
-        first_message_at=F.min("created_at"),
-        last_message_at=F.max("created_at"),
-        first_reply_at=first_time(F.col("created_at"), is_admin),
-        has_admin_reply=F.bool_or(is_admin),
+        F.lit(1).alias("message"),
+        F.col("created_at").alias("sent_at"),
+        is_admin.alias("is_admin"),
     )
-
-
-def linked_compensation(t: Tables) -> DataFrame:
-    """Per case: whether and how much was refunded and credited."""
+    aggs = {
+        "message_count": F.count("message"),
+        "first_message_at": F.min("sent_at"),
+        "last_message_at": F.max("sent_at"),
+        "first_reply_at": first_time(F.col("sent_at"), F.col("is_admin")),
+        "has_admin_reply": F.coalesce(F.bool_or("is_admin"), F.lit(False)),
+    }
+    if not compensation:
+        return measures_per_key("case_id", [messages], aggs)
 
     def part(table: str, kind: str) -> DataFrame:
-        cents = F.col("amount_in_cents").cast("bigint")
-        return (
-            t[table]
-            .where(F.col("support_case_id").isNotNull())
-            .select(F.col("support_case_id").alias("case_id"), F.coalesce(cents, F.lit(0)).alias(f"{kind}_cents"))
-        )
+        cents = F.coalesce(F.col("amount_in_cents").cast("bigint"), F.lit(0))
+        rows = t[table].where(F.col("support_case_id").isNotNull())
+        return rows.select(F.col("support_case_id").alias("case_id"), cents.alias(f"{kind}_cents"))
 
-    return measures_per_key(
-        "case_id",
-        [part("refunds", "refund"), part("credits", "credit")],
-        {
-            "refund_count": F.count("refund_cents"),
-            "credit_count": F.count("credit_cents"),
-            "linked_refund_cents": sum_or_zero(F.col("refund_cents")),
-            "linked_credit_cents": sum_or_zero(F.col("credit_cents")),
-        },
-    )
+    aggs |= {
+        "refund_count": F.count("refund_cents"),
+        "credit_count": F.count("credit_cents"),
+        "linked_refund_cents": sum_or_zero(F.col("refund_cents")),
+        "linked_credit_cents": sum_or_zero(F.col("credit_cents")),
+    }
+    return measures_per_key("case_id", [messages, part("refunds", "refund"), part("credits", "credit")], aggs)
 
 
 def support_overview(t: Tables) -> DataFrame:
@@ -129,19 +128,13 @@ def support_overview(t: Tables) -> DataFrame:
     Averages leave out cases without messages or replies; days with none report 0.
     """
     cases = t["support_cases"].select(F.col("id").alias("case_id"), day(F.col("created_at")).alias("case_date"), "status", "created_at")
-    per_case = left_join_all(
-        cases,
-        [
-            (message_measures(t).select("case_id", "message_count", "first_reply_at"), "case_id"),
-            (linked_compensation(t), "case_id"),
-        ],
-    )
+    per_case = left_join_all(cases, [(case_measures(t), "case_id")])
     minutes = whole_minutes(F.col("created_at"), F.col("first_reply_at"))
     return per_case.groupBy("case_date").agg(
         F.count(F.lit(1)).alias("total_cases"),
         count_where(F.col("status") == "open").alias("open_cases"),
         count_where(F.col("status") == "resolved").alias("resolved_cases"),
-        F.coalesce(F.avg("message_count"), F.lit(0.0)).alias("avg_messages_per_case"),
+        F.coalesce(F.avg(F.when(F.col("message_count") > 0, F.col("message_count"))), F.lit(0.0)).alias("avg_messages_per_case"),
         F.coalesce(F.avg(minutes), F.lit(0.0)).alias("avg_first_response_minutes"),
         count_where(F.col("refund_count") > 0).alias("cases_with_refund"),
         count_where(F.col("credit_count") > 0).alias("cases_with_credit"),
@@ -242,7 +235,7 @@ def support_case_context(t: Tables, as_of: dt.date | str, days: int = WINDOW_DAY
     """Per case: user, message measures, first response from case creation, compensation, history."""
     out = left_join_all(
         case_spine(t, user_facts(t, since_day(F.col("created_at"), as_of, days))),
-        [(message_measures(t), "case_id"), (linked_compensation(t), "case_id")],
+        [(case_measures(t), "case_id")],
         {"message_count": 0, "has_admin_reply": False},
     )
     return out.select(
