@@ -19,7 +19,25 @@ from pyspark.sql import types as T
 from opsloom.llm.spans import SPAN, spans_of
 from opsloom.sources.store import read_or_empty
 
-LEDGER = T.StructType.fromDDL(f"blob string, rules string, spans array<{SPAN}>")
+LEDGER = T.StructType(
+    [
+        T.StructField("blob", T.StringType()),
+        T.StructField("rules", T.StringType()),
+        T.StructField(
+            "spans",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("start", T.LongType()),
+                        T.StructField("order", T.IntegerType()),
+                        T.StructField("stop", T.LongType()),
+                        T.StructField("kind", T.StringType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
 
 
 @dataclasses.dataclass(frozen=True)
