@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
+from opsloom.llm.q_hilbert import op3_hilbert
 from opsloom.llm.q_secrets import op9_secret_ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_hilbert,
         op9_secret_ledger,
         op10_chat_events,
     )
