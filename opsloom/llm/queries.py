@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
 from opsloom.llm.q_hilbert import op3_hilbert
+from opsloom.llm.q_quality import op1_quality_divergence
 from opsloom.llm.q_secrets import op9_secret_ledger
 from opsloom.llm.q_simhash import op6_simhash_embedding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_divergence,
         op3_hilbert,
         op6_simhash_embedding,
         op9_secret_ledger,
