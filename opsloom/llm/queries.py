@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
 from opsloom.llm.q_hilbert import op3_hilbert
+from opsloom.llm.q_packing import op4_packing
 from opsloom.llm.q_quality import op1_quality_divergence
 from opsloom.llm.q_secrets import op9_secret_ledger
 from opsloom.llm.q_simhash import op6_simhash_embedding
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_divergence,
         op3_hilbert,
+        op4_packing,
         op6_simhash_embedding,
         op9_secret_ledger,
         op10_chat_events,
