@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.tables import WORD
+from opsloom.llm.tables import WORD, plain_words
 from opsloom.session import stored
 
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "sentence mark", "symbol", "rest")
@@ -85,12 +85,6 @@ def _class_of():
 
 
 _TABLES: dict = {}
-#: ASCII letters in lower case; what is neither letter, digit nor part of a longer UTF-8 character parts words.
-_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
-
-
-def plain_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
 def base_counts(text: str, word) -> tuple[int, int, int, int, int]:

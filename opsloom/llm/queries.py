@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
+from opsloom.llm.q_decontamination import op8_decontamination
 from opsloom.llm.q_hilbert import op3_hilbert
 from opsloom.llm.q_packing import op4_packing
 from opsloom.llm.q_quality import op1_quality_divergence
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_hilbert,
         op4_packing,
         op6_simhash_embedding,
+        op8_decontamination,
         op9_secret_ledger,
         op10_chat_events,
     )

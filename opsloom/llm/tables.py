@@ -36,4 +36,13 @@ def replace_columns(df: DataFrame, keep: Sequence[str], **new: Column) -> DataFr
     return df.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in new.items()])
 
 
-__all__ = ["WORD", "read", "replace_columns", "row_key", "stored", "text_of"]
+#: ASCII letters in lower case; what is neither letter, digit nor part of a longer UTF-8 character parts words.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """The words of a text without marks, in UTF-8, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+__all__ = ["WORD", "plain_words", "read", "replace_columns", "row_key", "stored", "text_of"]
