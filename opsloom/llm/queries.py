@@ -10,6 +10,7 @@ from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
 from opsloom.llm.q_decontamination import op8_decontamination
 from opsloom.llm.q_hilbert import op3_hilbert
 from opsloom.llm.q_packing import op4_packing
+from opsloom.llm.q_paragraphs import op5_paragraph_minhash
 from opsloom.llm.q_quality import op1_quality_divergence
 from opsloom.llm.q_secrets import op9_secret_ledger
 from opsloom.llm.q_simhash import op6_simhash_embedding
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_divergence,
         op3_hilbert,
         op4_packing,
+        op5_paragraph_minhash,
         op6_simhash_embedding,
         op8_decontamination,
         op9_secret_ledger,
