@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
 from opsloom.llm.q_decontamination import op8_decontamination
 from opsloom.llm.q_hilbert import op3_hilbert
+from opsloom.llm.q_lines import op7_fuzzy_lines
 from opsloom.llm.q_packing import op4_packing
 from opsloom.llm.q_paragraphs import op5_paragraph_minhash
 from opsloom.llm.q_quality import op1_quality_divergence
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_packing,
         op5_paragraph_minhash,
         op6_simhash_embedding,
+        op7_fuzzy_lines,
         op8_decontamination,
         op9_secret_ledger,
         op10_chat_events,
