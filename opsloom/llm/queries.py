@@ -12,6 +12,7 @@ from opsloom.llm.q_hilbert import op3_hilbert
 from opsloom.llm.q_lines import op7_fuzzy_lines
 from opsloom.llm.q_packing import op4_packing
 from opsloom.llm.q_paragraphs import op5_paragraph_minhash
+from opsloom.llm.q_pii import op2_pii_boosting
 from opsloom.llm.q_quality import op1_quality_divergence
 from opsloom.llm.q_secrets import op9_secret_ledger
 from opsloom.llm.q_simhash import op6_simhash_embedding
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_divergence,
+        op2_pii_boosting,
         op3_hilbert,
         op4_packing,
         op5_paragraph_minhash,
