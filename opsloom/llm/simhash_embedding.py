@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.llm.components import components
+from opsloom.llm.tables import document_key
 from opsloom.session import stored
 
 BITS = 64
@@ -48,17 +49,18 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) of every row, from its whole text; null is the empty text."""
+    """(id, doc_key, fp) of every row, from its whole text; null is the empty text."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], names=["id", "doc_key", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.encode(F.col(text), "UTF-8").alias("body"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+    body = F.encode(F.col(text).cast("string"), "UTF-8")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), document_key(doc_id, text).alias("doc_key"), body.alias("body"))
+    return rows.mapInArrow(run, "id bigint, doc_key bigint, fp bigint")
 
 
 def popcounts(fp: Column) -> Column:
@@ -94,7 +96,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: id, fp, component_id (the least id that links reach).
+    """One row per row of docs: id, doc_key, fp, root (a name of the component) and component_id (its least id).
 
     Links join fingerprints at 2 or fewer differing bits (the grid is built for this distance; others raise).
     Texts without words have fingerprint zero and are linked like any others. Null ids never are a
@@ -107,5 +109,5 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, doc_id:
     roots = components(links(fps.select("fp")))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return found.join(named, "fp").select("id", "fp", "component_id")
+    named = stored(rooted.join(names, "root").select("fp", "root", "component_id"), "named")
+    return found.join(named, "fp").select("id", "doc_key", "fp", "root", "component_id")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.session import stored
-
 #: A word: everything between the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,18 +18,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def row_key(*columns: str) -> Column:
+def row_key(*values: str | Column) -> Column:
     """A key of a row by its content: equal rows share it, so it is the same in every scan.
 
     Nulls get a mark of their own, because xxhash64 passes over nulls.
     """
-    parts = [p for c in columns for p in (F.isnull(c), F.col(c))]
-    return F.xxhash64(*parts)
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    return F.xxhash64(*[part for c in columns for part in (c.isNull(), c)])
 
 
-def replace_columns(df: DataFrame, keep: Sequence[str], **new: Column) -> DataFrame:
-    """df's columns `keep` in order, then the new ones."""
-    return df.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in new.items()])
+def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The key of a document: rows equal in id and text are one document."""
+    return row_key(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
 
 
 #: ASCII letters in lower case; what is neither letter, digit nor part of a longer UTF-8 character parts words.
@@ -43,6 +39,3 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() els
 def plain_words(text: str) -> list[bytes]:
     """The words of a text without marks, in UTF-8, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-
-
-__all__ = ["WORD", "plain_words", "read", "replace_columns", "row_key", "stored", "text_of"]
