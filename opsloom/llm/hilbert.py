@@ -100,12 +100,13 @@ def cells(df: DataFrame, dims: Mapping[str, Column], bits: int, accuracy: int =
     """
     points = [i / (1 << bits) for i in range(1, 1 << bits)]
     row = df.agg(*[F.percentile_approx(c.cast("double"), points, accuracy).alias(f"d{i}") for i, c in enumerate(dims.values())]).first()
-    out = []
-    for bounds, c in zip(row, dims.values(), strict=True):
-        value = F.coalesce(c.cast("double"), F.lit(float("-inf")))
-        cuts = sorted(set(bounds or []))
-        out.append(F.size(F.filter(F.array(*[F.lit(b) for b in cuts]).cast("array<double>"), lambda b, v=value: b <= v)))
-    return out
+
+    def cell(bounds: list[float] | None, value: Column) -> Column:
+        cuts = F.array(*[F.lit(b) for b in sorted(set(bounds or []))]).cast("array<double>")
+        return F.size(F.filter(cuts, lambda b: b <= value))
+
+    lowest = F.lit(float("-inf"))
+    return [cell(bounds, F.coalesce(c.cast("double"), lowest)) for bounds, c in zip(row, dims.values(), strict=True)]
 
 
 def hilbert_shards(df: DataFrame, dims: Mapping[str, Column], shards: int, tie: Column, bits: int = 5) -> DataFrame:

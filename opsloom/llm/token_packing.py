@@ -96,10 +96,10 @@ class WordCache:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self.plain.fullmatch(text):
-            return self._plain(text)
         if any(s in text for s in self.special):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self.plain.fullmatch(text):
+            return self._plain(text)
         words = self.white.split(text)
         return b"".join(self._plain(w) if self.plain.fullmatch(w) else self._other(w) for w in words if w)
 
@@ -124,8 +124,12 @@ def places(total: int, soft, ends, costs: Costs):
     return at, penalty
 
 
-def cuts(at, penalty, costs: Costs) -> list[int]:
-    """The cheapest cuts of a stream, the last at its end. Neighbouring places are at most a window apart."""
+def cuts(at, penalty, costs: Costs, last: bool) -> list[int]:
+    """The cheapest cuts of a stream. Neighbouring places are at most a window apart.
+
+    What follows the cut that is chosen last fits one window. In the stream's last part it is cut as `tail_cuts`
+    says, at its cost; else it costs nothing yet, as the next part begins with it.
+    """
     window = costs.window
     position = [0, *at.tolist()]
     extra = [0, *penalty.tolist()]
@@ -144,15 +148,24 @@ def cuts(at, penalty, costs: Costs) -> list[int]:
         while queue and gain[queue[-1]] >= g:
             queue.pop()
         queue.append(i)
-    out, i = [], n - 1
+    total = position[-1]
+    near = [i for i in range(n - 1) if total - position[i] <= window]
+    rest = {i: tail_cost(total - position[i], costs) if last else 0 for i in near}
+    i = min(near, key=lambda i: (gain[i] - position[i] + rest[i], -i))
+    out = tail_cuts(position[i], total, costs)[::-1] if last else []
     while i > 0:
         out.append(position[i])
         i = back[i]
     return out[::-1]
 
 
+def tail_cost(length: int, costs: Costs) -> int:
+    """Of a last window: its padding, or the cuts into powers of two, which have none."""
+    return min(costs.window - length, (length.bit_count() - 1) * costs.hard)
+
+
 def tail_cuts(start: int, end: int, costs: Costs) -> list[int]:
-    """The cuts of a block's last window: powers of two if their cuts cost less than its padding."""
+    """The cuts of a last window, the cheaper way of the two."""
     length = end - start
     if (length.bit_count() - 1) * costs.hard >= costs.window - length:
         return [end]
@@ -190,14 +203,9 @@ class Packer:
         sizes = np.cumsum([len(ids) for _, _, ids, _ in self.parts])
         stream = np.concatenate([ids for _, _, ids, _ in self.parts])
         soft = np.nonzero(self.closing[stream])[0] + 1
-        chosen = cuts(*places(len(stream), soft, sizes, self.costs), self.costs)
-        if last:
-            begin = chosen[-2] if len(chosen) > 1 else 0
-            chosen = [*chosen[:-1], *tail_cuts(begin, chosen[-1], self.costs)]
-        else:
-            chosen = chosen[:-1]  # what follows may fill the last window
+        chosen = cuts(*places(len(stream), soft, sizes, self.costs), self.costs, last)
         done = chosen[-1] if chosen else 0
-        edges = np.unique(np.concatenate([[0], sizes[sizes < done], chosen])).astype(np.int64).tolist()
+        edges = np.unique(np.concatenate([[0], sizes[sizes < done], chosen])).astype(np.int64).tolist() if chosen else []
         k, begin, window = 0, 0, 0
         for a, b in zip(edges, edges[1:], strict=False):
             while sizes[k] <= a:

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+import xxhash
+
+from opsloom.llm.components import components
+from opsloom.llm.simhash_embedding import fingerprint, links, simhash_groups
+from opsloom.llm.tables import WORD
+from tests.llm.helpers import classes, edges, empty, prose, table
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def plainly(text):
+    words = re.findall(WORD, (text or "").translate(LOWER))
+    if not words:
+        return 0
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_fingerprints():
+    for text in ("", "one", "Two WORDS", "É é X", prose(1, 400), "a a a a a a", "x\x0by\x1cz"):
+        assert fingerprint(text.encode(), 3) == signed(plainly(text))
+
+
+def test_spark_hashes_alike(spark):
+    """The hash is the one that Spark calls xxhash64."""
+    text = "the of and"
+    assert spark.sql(f"select xxhash64('{text}')").first()[0] == signed(xxhash.xxh64_intdigest(text, 42))
+
+
+def families():
+    """Fingerprints: unrelated ones, pairs at each small distance, a chain, and a dense ball."""
+    rng = random.Random(3)
+    out = [rng.getrandbits(64) for _ in range(300)]
+    for d in (1, 2, 3):
+        for _ in range(40):
+            v = rng.getrandbits(64)
+            out += [v, v ^ sum(1 << b for b in rng.sample(range(64), d))]
+    v = rng.getrandbits(64)
+    for _ in range(40):
+        v ^= sum(1 << b for b in rng.sample(range(64), 2))
+        out.append(v)
+    center = rng.getrandbits(64)
+    out += [center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(300)]
+    out += [0, 1, (1 << 64) - 1, (1 << 64) - 2, 7]
+    return sorted(set(out))
+
+
+def test_links_join_exactly_the_close_fingerprints(spark):
+    values = families()
+    pairs = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 2]
+    want = classes(pairs, values)
+    edges_found = links(spark.createDataFrame([(signed(v),) for v in values], "fp bigint"))
+    found = {r["node"]: r["root"] for r in components(edges_found).collect()}
+    groups: dict = {}
+    for v in values:
+        groups.setdefault(found.get(signed(v), signed(v)), set()).add(v)
+    expected: dict = {}
+    for v in values:
+        expected.setdefault(want[v], set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_components_of_a_path_a_star_and_loops(spark):
+    rows = [(i, i + 1) for i in range(100, 140)] + [(1, k) for k in range(2, 60)] + [(5, 5), (None, 3), (7, None), (200, 201), (201, 200)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
+    want = classes([r for r in rows if None not in r], {n for r in rows if None not in r for n in r})
+    assert found == {n: t for n, t in want.items() if n in found}
+    assert set(found) == {n for n in want if n >= 100 or n < 60}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_documents(spark):
+    a = prose(4, 900)
+    texts = [a, a, a.replace("the", "THE", 1), prose(5, 900), "", None, "  "]
+    rows = {r["id"]: r for r in simhash_groups(table(spark, texts)).collect()}
+    assert {i: r["component_id"] for i, r in rows.items()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 4}
+
+
+def test_edges(spark):
+    docs = edges(spark).withColumnRenamed("lang", "fp").withColumnRenamed("source", "root")
+    rows = simhash_groups(docs).collect()
+    assert len(rows) == docs.count()
+    values = [(plainly(r["text"]), r["doc_id"]) for r in docs.collect()]
+    assert sorted(r["fp"] for r in rows) == sorted(signed(v) for v, _ in values)
+    nodes = {v for v, _ in values}
+    top = classes([(a, b) for a in nodes for b in nodes if a != b and (a ^ b).bit_count() <= 2], nodes)
+    names = {}
+    for v, i in values:
+        if i is not None:
+            names[top[v]] = min(names.get(top[v], i), i)
+    assert {(r["fp"], r["component_id"]) for r in rows} == {(signed(v), names.get(top[v])) for v, _ in values}
+    assert simhash_groups(empty(spark)).count() == 0
+    with pytest.raises(ValueError, match="2 differing bits"):
+        simhash_groups(docs, max_bits=3)
