@@ -30,7 +30,7 @@ def test_cuts_are_the_cheapest(sizes, last, data):
     assert all(0 < b - a <= 8 for a, b in zip([0, *chosen], chosen, strict=False))
     if last:
         assert chosen[-1] == total
-        end = next(i for i in sorted(rest) if chosen == [c for c in chosen if c <= i] + tail_cuts(i, total, costs))
+        end = next(i for i in sorted(rest) if i in (0, *chosen) and chosen == [c for c in chosen if c <= i] + tail_cuts(i, total, costs))
         found = [c for c in chosen if c <= end]
     else:
         found, end = chosen, chosen[-1] if chosen else 0
