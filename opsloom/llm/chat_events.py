@@ -2,7 +2,7 @@
 
 A log holds events (conversation, sequence, event, position, role, text):
 
-- ``open`` starts the message at a position, ``delta`` appends to it;
+- ``open`` starts the message at a position (with its text, if any), ``delta`` appends to it;
 - ``edit`` replaces the message by its text, ``regenerate`` empties it; either also drops all later
   messages as they stood, as they answered a text that is gone.
 
