@@ -41,10 +41,8 @@ HEADLINE = (
     "promos_for_users",
     "promo_check",
     "stale_cart_items_kept",
-    "engagement_weights",
-    "regional_demand",
+    "orders_by_local_time",
     "order_transition_audit",
-    "numbered_users",
 )
 
 

@@ -314,15 +314,16 @@ QUARANTINE = _with(
     f"""SELECT message_id, case_id, user_id, CASE kind WHEN 6 THEN {_json('refund', '"abc"')} WHEN 7 THEN substr({_json('credit', '1')}, 1, 40)
   WHEN 8 THEN '[' || {_json('credit', '1')} || ']' WHEN 9 THEN {_json('credit', '1')} || ' done'
   ELSE {_json('no_action', 'null')} END AS raw_reply,
-  CASE kind WHEN 6 THEN 'bad amount' WHEN 8 THEN 'not an object' WHEN 11 THEN 'bad amount' ELSE 'not json' END AS reject_reason
+  CASE kind WHEN 6 THEN 'bad amount' WHEN 8 THEN 'not an object' WHEN 11 THEN 'bad amount' ELSE 'not json' END AS reject_reason,
+  NULL::VARCHAR AS responder_error, {NOW} AS generated_at
 FROM replies WHERE kind IN (6, 7, 8, 9, 11)""",
 )
 
 POLICY = _with(
     f"""{UNANSWERED_CTE}, context AS ({CONTEXT_SELECT}), facts AS (
   SELECT w.message_id, w.case_id, w.user_id, w.status, coalesce(o.total_in_cents, 0) AS order_cents,
-    ['late delivery', 'wrong order received', 'missing items', 'cold food', 'driver was rude', 'overcharged', 'app not working',
-     'refund request', 'delivery never arrived', 'food quality issue'][w.case_id % 10 + 1] AS subject,
+    ['late delivery', 'missing items', 'wrong order received', 'cold food', 'food quality issue', 'delivery never arrived',
+     'something else'][w.case_id % 7 + 1] AS subject,
     c.linked_refund_cents + c.linked_credit_cents > 0 AS paid, c.has_admin_reply, c.user_cases_90d AS cases,
     CASE WHEN c.user_lifetime_spend_cents > 20000 THEN 1 ELSE 0 END AS high, w.case_id % 5 = 0 AS thanks
   FROM waiting w JOIN context c USING (case_id) LEFT JOIN s_newest_order o ON o.user_id = w.user_id
@@ -383,29 +384,13 @@ MULTIPLIERS = """multipliers AS (
   SELECT coalesce(region, 'global') AS region, greatest(1.0::DOUBLE, max(traffic_multiplier / 100.0)) AS multiplier
   FROM s_running GROUP BY ALL
 )"""
-DEMAND = _with(
-    f"""{MULTIPLIERS}, regions(region, weight, zone) AS (
-  VALUES ('us_east', 1.2::DOUBLE, 'America/New_York'), ('us_central', 1.0, 'America/Chicago'),
-         ('us_west', 1.1, 'America/Los_Angeles'), ('eu_west', 0.7, 'Europe/London')
-), grid AS (
-  SELECT h.at_utc, r.*, timezone(r.zone, timezone('UTC', h.at_utc)) AS here
-  FROM (SELECT DISTINCT date_trunc('hour', ts) AS at_utc FROM events) h, regions r
-), factors AS (
-  SELECT at_utc, region, CAST(hour(here) AS INTEGER) AS local_hour, CAST(dayofweek(here) AS INTEGER) AS local_weekday, weight,
-    list_extract([0.1, 0.08, 0.05, 0.05, 0.08, 0.15, 0.3, 0.5, 0.6, 0.8, 1.0, 1.4, 1.5, 1.2, 0.7, 0.5, 0.6, 1.2, 1.8, 1.7, 1.3, 0.8, 0.4,
-     0.2]::DOUBLE[], hour(here) + 1) AS hour_factor,
-    list_extract([1.2, 0.9, 0.9, 1.0, 1.0, 1.3, 1.5]::DOUBLE[], dayofweek(here) + 1) AS weekday_factor
-  FROM grid
-)""",
-    """SELECT f.*, coalesce(m.multiplier, 1.0::DOUBLE) AS promo_factor,
-  round(hour_factor * weekday_factor * coalesce(m.multiplier, 1.0::DOUBLE) * weight, 6) AS demand
-FROM factors f LEFT JOIN multipliers m USING (region)""",
-)
-ENGAGEMENT = _q(
-    f"""SELECT u.id AS user_id, count(o.id) AS orders, max(o.created_at) AS latest_order_at,
-  CAST((CASE WHEN max(o.created_at) > {NOW} - to_days(3) THEN 4 WHEN max(o.created_at) > {NOW} - to_days(7) THEN 2 ELSE 1 END)
-    * (CASE WHEN count(o.id) >= 5 THEN 3 WHEN count(o.id) >= 2 THEN 2 ELSE 1 END) AS INTEGER) AS weight
-FROM s_users u LEFT JOIN s_orders o ON o.user_id = u.id GROUP BY u.id"""
+LOCAL_TIME = _q(
+    """SELECT CAST(hour(here) AS INTEGER) AS local_hour, ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][dayofweek(here) + 1] AS local_weekday,
+  count(*) AS orders
+FROM (SELECT timezone(CASE u.region WHEN 'AMERICA' THEN 'America/New_York' WHEN 'EUROPE' THEN 'Europe/London' WHEN 'ASIA' THEN 'Asia/Tokyo'
+        ELSE 'UTC' END, timezone('UTC', CAST(o.created_at AS TIMESTAMP))) AS here
+      FROM s_orders o LEFT JOIN s_users u ON u.id = o.user_id)
+GROUP BY ALL"""
 )
 AUDIT_CTE = """audit AS (
   SELECT *, CASE WHEN previous_status IS NULL THEN 'start' WHEN previous_status = status THEN 'unchanged'
@@ -440,8 +425,11 @@ ORACLE: dict[str, str] = {
     "unanswered_messages": _with(UNANSWERED_CTE, "SELECT * FROM waiting"),
     "unanswered_messages_strict": STRICT,
     "case_prompts": _with(
-        PROMPT_CTE,
-        "SELECT message_id, case_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM prompts",
+        PROMPT_CTE.replace(", t.said) AS prompt", ") AS prompt"),
+        """SELECT message_id, case_id, user_id, NULL::TIMESTAMP AS sent_at, NULL::BIGINT AS line_id, prompt AS text FROM prompts
+UNION ALL SELECT w.message_id, w.case_id, w.user_id, m.created_at, m.id, '  [' || strftime(m.created_at, '%H:%M') || '] '
+  || CASE WHEN m.admin_id IS NULL THEN 'CUSTOMER' ELSE 'ADMIN' END || ': ' || m.content
+FROM prompts w JOIN s_messages m USING (case_id)""",
     ),
     "agent_responses": _with(
         PROMPT_CTE,
@@ -451,7 +439,8 @@ FROM prompts WHERE length(prompt) % 7 <> 0""",
     ),
     "agent_responses_quarantine": _with(
         PROMPT_CTE,
-        """SELECT message_id, case_id, user_id, 'I can not help with that.' AS raw_reply, 'not json' AS reject_reason
+        f"""SELECT message_id, case_id, user_id, 'I can not help with that.' AS raw_reply, 'not json' AS reject_reason,
+  NULL::VARCHAR AS responder_error, {NOW} AS generated_at
 FROM prompts WHERE length(prompt) % 7 = 0""",
     ),
     "agent_responses_validated": _with(REPLY_CTE, "SELECT * FROM parsed"),
@@ -594,9 +583,8 @@ FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderk
   CASE WHEN due THEN {NOW} ELSE updated_at END AS updated_at
 FROM (SELECT *, status = 'resolved' AND updated_at < {NOW} - to_hours(24) AS due FROM s_cases)"""
     ),
-    "engagement_weights": ENGAGEMENT,
-    "engagement_weights_by_suffix": ENGAGEMENT.replace("GROUP BY u.id", "WHERE u.email LIKE '%7' GROUP BY u.id"),
-    "regional_demand": DEMAND,
+    "orders_by_local_time": LOCAL_TIME,
+    "users_by_email_end": _q("SELECT id AS user_id, email FROM s_users WHERE email LIKE '%7'"),
     "order_transition_audit": _with(AUDIT_CTE, 'SELECT id, lsn AS "_lsn", previous_status, status, verdict FROM audit'),
     "order_transition_summary": _with(
         AUDIT_CTE, "SELECT previous_status, status, verdict, count(*) AS steps FROM audit GROUP BY ALL"
@@ -616,5 +604,4 @@ GROUP BY ALL"""
     ),
     "snapshot_key_violations": """SELECT l_orderkey * 10 + l_linenumber AS id, count(*) AS row_count FROM lineitem
 GROUP BY ALL HAVING count(*) > 1""",
-    "numbered_users": _q("SELECT id, name, row_number() OVER (ORDER BY name, id) AS position FROM s_users"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,6 @@ from opsloom.functions.ids import hex_to_uuid, key_bytes, normalise_id, short_id
 from opsloom.functions.jsons import parse_replies, with_json
 from opsloom.functions.times import ntz_literal
 from opsloom.operators import cdc
-from opsloom.operators.ordered import dense_index
 from opsloom.operators.rows import split_valid
 from opsloom.plans import agent, commerce, console, gold
 from opsloom.schemas import BASE_RATES, DISCOUNT_STRATEGY, ORDER_STATUSES
@@ -51,9 +50,6 @@ def _diff(t: Tables) -> DataFrame:
     return cdc.diff_changes(_as_of(t), EVENTS.current(t["event_history"]), ["id"]).withColumnRenamed("_change_type", "change")
 
 
-
-
-
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events file as a stream of changes."""
     sample_tables(spark, folder)
@@ -102,8 +98,7 @@ def _current(name: str) -> Query:
 
 
 def _prompts(t: Tables) -> DataFrame:
-    prompts = agent.case_prompts(t, stored(agent.unanswered_messages(t), "selected"), AS_OF)
-    return prompts.select("message_id", "case_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+    return agent.case_prompts(t, stored(agent.unanswered_messages(t), "selected"), AS_OF)
 
 
 def _echo_responder() -> agent.Responder:
@@ -112,18 +107,17 @@ def _echo_responder() -> agent.Responder:
     An inner function travels to the tasks with its code, so they need not import this module.
     """
 
-    def echo(prompts: list[str]) -> list[str]:
-        out = []
-        for prompt in prompts:
-            if len(prompt) % 7 == 0:
-                out.append("I can not help with that.")
-            else:
-                subject = prompt.split("\n", 1)[0].removeprefix("Subject: ")
-                out.append(
-                    f'```json\n{{"case_summary": "{subject}", "suggested_response": "ok", "suggested_action": "credit", '
-                    f'"suggested_amount_cents": {len(prompt)}, "reasoning": "length"}}\n```'
-                )
-        return out
+    def echo(instructions: str, pieces: Iterator[str]) -> str:
+        length, subject = -1, None  # a line end between pieces
+        for piece in pieces:
+            subject = piece.split("\n", 1)[0].removeprefix("Subject: ") if subject is None else subject
+            length += 1 + len(piece)
+        if length % 7 == 0:
+            return "I can not help with that."
+        return (
+            f'```json\n{{"case_summary": "{subject}", "suggested_response": "ok", "suggested_action": "credit", '
+            f'"suggested_amount_cents": {length}, "reasoning": "length"}}\n```'
+        )
 
     return echo
 
@@ -156,26 +150,15 @@ def _publish(t: Tables) -> DataFrame:
 
 def _policy(t: Tables) -> DataFrame:
     """Compensation rules on all unanswered messages, with subjects and closing thanks varied."""
-    subjects = F.array(*[F.lit(s) for s in SUBJECTS])
+    subjects = F.array(*[F.lit(s.capitalize()) for s in SUBJECTS])
     cases = t["support_cases"].withColumn("subject", F.get(subjects, (F.col("id") % len(SUBJECTS)).cast("int")))
-    thanks = F.when(F.col("case_id") % 5 == 0, F.lit(agent.THANKS[0])).otherwise(F.col("content"))
+    thanks = F.when(F.col("case_id") % 5 == 0, F.concat(F.lit("Many THANKS. "), "content")).otherwise(F.col("content"))
     t = t.with_tables(support_cases=cases, support_messages=t["support_messages"].withColumn("content", thanks))
     return agent.policy_suggestions(t, stored(agent.unanswered_messages(t), "selected"), AS_OF)
 
 
-# Case subjects.
-SUBJECTS = (
-    "Late delivery",
-    "Wrong order received",
-    "Missing items",
-    "Cold food",
-    "Driver was rude",
-    "Overcharged",
-    "App not working",
-    "Refund request",
-    "Delivery never arrived",
-    "Food quality issue",
-)
+# The subjects with a rule of their own, and one without.
+SUBJECTS = (*[s for s in agent.SUBJECT_POLICY if "," not in s], "something else")
 
 
 # --- console ---------------------------------------------------------------------------------
@@ -225,10 +208,11 @@ def _search(t: Tables) -> DataFrame:
 # --- commerce --------------------------------------------------------------------------------
 
 
-def _demand(t: Tables) -> DataFrame:
-    times = t["runs"].select(F.date_trunc("hour", "started_at").cast("timestamp_ntz").alias("at_utc")).distinct()
-    out = commerce.regional_demand(times, commerce.promo_region_multipliers(t, AS_OF_TIME))
-    return out.withColumn("demand", F.round("demand", 6))
+def _local_time(t: Tables) -> DataFrame:
+    """Orders by the local time of their users, whose zone follows the region."""
+    region = F.col("region")
+    zone = F.when(region == "AMERICA", "America/New_York").when(region == "EUROPE", "Europe/London").when(region == "ASIA", "Asia/Tokyo")
+    return commerce.orders_by_local_time(t.with_tables(users=t["users"].withColumn("time_zone", zone)))
 
 
 def _active_config(t: Tables) -> DataFrame:
@@ -250,10 +234,6 @@ def _status_split(t: Tables) -> DataFrame:
     return both.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _numbered(t: Tables) -> DataFrame:
-    return dense_index(t["users"].select("id", "name"), ["name", "id"], "position", 1)
-
-
 def _snapshot(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "profile")
     return store.sync_snapshot(gold.user_support_profile(t, AS_OF), ["user_id"], path)
@@ -335,9 +315,8 @@ QUERIES: dict[str, Query] = {
     "stale_carts": _over(lambda t: commerce.stale_carts(t, AS_OF_TIME)),
     "stale_cart_items_kept": _over(lambda t: commerce.drop_stale_carts(t, AS_OF_TIME)["cart_items"]),
     "auto_close": _over(lambda t: commerce.auto_close(t, AS_OF_TIME)),
-    "engagement_weights": _over(lambda t: commerce.engagement_weights(t, AS_OF_TIME)),
-    "engagement_weights_by_suffix": _over(lambda t: commerce.engagement_weights(t, AS_OF_TIME, "7")),
-    "regional_demand": _over(_demand),
+    "orders_by_local_time": _over(_local_time),
+    "users_by_email_end": _over(lambda t: commerce.users_by_email_end(t, "7")),
     "order_transition_audit": _over(lambda t: commerce.order_transition_audit(t["order_history"])),
     "order_transition_summary": _over(lambda t: commerce.audit_summary(commerce.order_transition_audit(t["order_history"]))),
     "recent_runs": _over(commerce.recent_runs),
@@ -347,5 +326,4 @@ QUERIES: dict[str, Query] = {
     "status_domain_split": _over(_status_split),
     "snapshot_sync_check": _over(_snapshot),
     "snapshot_key_violations": _over(_key_violations),
-    "numbered_users": _over(_numbered),
 }

@@ -52,10 +52,10 @@ def role(admin_id: Column) -> Column:
     return F.when(admin_id.isNotNull(), "admin").otherwise("customer")
 
 
-def literal_map(values: Mapping[str, float]) -> Column:
+def literal_map(values: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def lookup(mapping: Column, key: Column, default: float = 1.0) -> Column:
+def lookup(mapping: Column, key: Column, default: object = 1.0) -> Column:
     """Map entry by text key, `default` where the key is absent."""
     return F.coalesce(F.try_element_at(mapping, key.cast("string")), F.lit(default))

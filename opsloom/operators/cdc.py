@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.operators.ordered import HOT_GROUP_ROWS, with_neighbour
+from opsloom.operators.ordered import with_neighbour
 from opsloom.operators.rows import latest_per_key
 from opsloom.schemas import CHANGE_COLUMNS
 
@@ -19,7 +19,7 @@ class Flow:
 
     name: str
     keys: tuple[str, ...] = ("id",)
-    seq: tuple[str, ...] = ("_lsn",)
+    seq: tuple[str, ...] = ("_lsn", "_xid")
     delete_value: str = "delete"
     type_column: str = "_change_type"
     drop: tuple[str, ...] = field(default=CHANGE_COLUMNS)
@@ -83,7 +83,7 @@ def scd2_intervals(
     seq: Sequence[str],
     ts: str,
     delete_when: Column | None = None,
-    group_rows: int = HOT_GROUP_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per version with valid_from, valid_to (null = open) and is_current.
 
@@ -91,7 +91,7 @@ def scd2_intervals(
     sequence value only the last one by `ts` is a version.
     """
     near = {"valid_to": ts, **{f"_next_{c}": c for c in seq}}
-    out = with_neighbour(history, keys, [*seq, ts], near, 1, group_rows)
+    out = with_neighbour(history, keys, [*seq, ts], near, 1, parts)
     repeated = F.lit(True)
     for c in seq:
         repeated = repeated & F.coalesce(F.col(c) == F.col(f"_next_{c}"), F.lit(False))

@@ -9,26 +9,6 @@ from pyspark.sql import functions as F
 
 from opsloom.session import stored
 
-# A key with more rows than this is spread over several tasks. It also bounds the broadcast
-# list of such keys: at most (rows / HOT_GROUP_ROWS) keys exist.
-HOT_GROUP_ROWS = 5_000_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], group_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
-    """Keys with more than `group_rows` rows and their row counts, stored, as columns _hot_<key>
-    and _n; None when there are none."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.where(F.col("_n") > group_rows)
-    hot = stored(large.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"), "hot-keys")
-    return None if hot.isEmpty() else hot
-
-
-def _is_hot(keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    return cond
-
 
 def range_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None, out: str = "_chunk") -> DataFrame:
     """Number contiguous, evenly sized ranges of the given order and store the result.
@@ -47,40 +27,31 @@ def with_neighbour(
     order: Sequence[str],
     values: Mapping[str, str],
     step: int,
-    group_rows: int = HOT_GROUP_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add columns of the next (step=1) or previous (step=-1) row of the same key.
 
     `values` maps new column names to source columns; the first and last rows get nulls.
-    Rows with equal `order` are neighbours of each other. Keys above `group_rows` are cut into ranges of the
-    order: neighbours are found inside each range and the ranges' edge rows close the gaps.
+    Rows with equal `order` are neighbours of each other. The rows are cut into even ranges of (key, order), so a key with a
+    large share of the rows is spread over several; neighbours are found inside each range and
+    the ranges' edge rows close the gaps.
     """
     keys, order = list(keys), list(order)
     pick = F.struct(*[F.col(src).alias(name) for name, src in values.items()])
     move = F.lead if step == 1 else F.lag
     columns = [*df.columns, *[F.col(f"_near.{name}").alias(name) for name in values]]
-
-    def inside(rows: DataFrame, extra: Sequence[str]) -> DataFrame:
-        return rows.withColumn("_near", move(pick, 1).over(Window.partitionBy(*keys, *extra).orderBy(*order)))
-
-    hot = hot_keys(df, keys, group_rows)
-    if hot is None:
-        return inside(df, []).select(*columns)
-    parts = -(-hot.agg(F.sum("_n")).first()[0] // group_rows) + 1
-    hot = F.broadcast(hot)
-    calm = inside(df.join(hot, _is_hot(keys), "left_anti"), [])
-    chunked = range_chunks(df.join(hot, _is_hot(keys), "left_semi"), [*keys, *order], parts)
+    chunked = range_chunks(df, [*keys, *order], parts)
     edge_of = F.min_by if step == 1 else F.max_by
     edges = chunked.groupBy(*keys, "_chunk").agg(edge_of(pick, F.struct(*order)).alias("_edge"))
     edges = edges.withColumn("_across", move("_edge", 1).over(Window.partitionBy(*keys).orderBy("_chunk")))
-    # one edge per key and chunk: at most as many as chunks and hot keys together
+    # A range shares at most its first and its last key with others: no more edges than twice the ranges.
+    edges = edges.where(F.col("_across").isNotNull())
     edges = F.broadcast(edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), "_across"))
     cond = F.col("_chunk") == F.col("_k_chunk")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = inside(chunked, ["_chunk"]).join(edges, cond, "left")
-    split = joined.withColumn("_near", F.coalesce("_near", "_across"))
-    return calm.select(*columns).unionByName(split.select(*columns))
+    inside = chunked.withColumn("_near", move(pick, 1).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
+    return inside.join(edges, cond, "left").withColumn("_near", F.coalesce("_near", "_across")).select(*columns)
 
 
 def dense_index(

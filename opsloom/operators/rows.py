@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Up to this many keys (a few megabytes) are broadcast to filter a large table while it is scanned.
-SMALL_KEYS = 200_000
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest `order` per key.
 
@@ -43,8 +39,11 @@ def join_unique(big: DataFrame, side: DataFrame, key: str, how: str = "inner") -
 
     Adaptive execution can split a hot key only where both inputs come straight from a shuffle.
     A side that was just aggregated or joined by the same key would keep its partitioning and
-    prevent that; the null-safe comparison makes both sides take a shuffle of their own.
+    prevent that; the null-safe comparison makes both sides take a shuffle of their own. Null keys,
+    which match nothing, are left out of inner and semi joins, so they are not gathered in one task.
     """
+    if how in ("inner", "left_semi"):
+        big = big.where(F.col(key).isNotNull())
     right = side.withColumnRenamed(key, "_side_key")
     return big.join(right, F.col(key).eqNullSafe(F.col("_side_key")), how).drop("_side_key")
 
@@ -70,32 +69,6 @@ def measures_per_key(key: str, parts: Iterable[DataFrame], aggs: Mapping[str, Co
     return rows.groupBy(key).agg(*[c.alias(name) for name, c in aggs.items()])
 
 
-def is_small(stored_table: DataFrame) -> bool:
-    """Whether the keys of a stored table may be broadcast; counts from the file footers."""
-    return stored_table.count() <= SMALL_KEYS
-
-
-def only_keys_of(
-    big: DataFrame, few: DataFrame, key: str, few_key: str | None = None, always: bool = False, small: bool | None = None
-) -> DataFrame:
-    """`big` without rows whose key `few` does not hold, if `few` is small enough to broadcast.
-
-    `few` must be a stored table: it is counted, unless the caller passes the answer. Beyond SMALL_KEYS rows `big` is cut down by a
-    shuffled semi join with always=True, and otherwise returned as it is, for the case that the
-    join that follows drops the rows by its own shuffle.
-    """
-    keys = few.select(F.col(few_key or key).alias(key)).distinct()
-    if is_small(few) if small is None else small:
-        return big.join(F.broadcast(keys), key, "left_semi")
-    return join_unique(big, keys, key, "left_semi") if always else big
-
-
-def without_keys_of(big: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """`big` without the keys of a stored table, which are broadcast if they are few."""
-    keys = few.select(key)
-    return big.join(F.broadcast(keys) if is_small(few) else keys, key, "left_anti")
-
-
 def unprocessed(df: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
     """Rows whose key is not in `done`."""
     return df.join(done.select(F.col(done_key or key).alias(key)), key, "left_anti")

@@ -1,9 +1,8 @@
-"""Orders, carts, deliveries, promotions, upkeep, demand and audits."""
+"""Orders, carts, deliveries, promotions, upkeep, local times and audits."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from opsloom.functions.jsons import with_json
 from opsloom.functions.text import ends_with, same_code
 from opsloom.functions.times import local_hour, local_weekday, ntz_literal, older_than, valid_at
 from opsloom.functions.values import amount, literal_map, lookup, under_cap
-from opsloom.operators.ordered import HOT_GROUP_ROWS, with_neighbour
+from opsloom.operators.ordered import with_neighbour
 from opsloom.operators.rows import active_version, join_unique, left_join_all, top_n_per_key
 from opsloom.schemas import RUN_COUNTERS
 from opsloom.session import stored
@@ -193,100 +192,26 @@ def auto_close(t: Tables, as_of: dt.datetime | str, idle_minutes: int = 24 * 60)
     )
 
 
-# --- engagement and demand -------------------------------------------------------------------
+# --- orders by local time --------------------------------------------------------------------
 
+# Names of the weekdays, 0 = Sunday.
+WEEKDAYS = {"0": "Sun", "1": "Mon", "2": "Tue", "3": "Wed", "4": "Thu", "5": "Fri", "6": "Sat"}
 
-def engagement_weights(t: Tables, as_of: dt.datetime | str, email_suffix: str | None = None) -> DataFrame:
-    """Draw weight per user: 1, +3 (+1) if the last order is within 3 (7) days, x3 (x2) from 5 (2) orders."""
-    users = t["users"].select(F.col("id").alias("user_id"), "email")
-    if email_suffix is not None:
-        users = users.where(ends_with(F.col("email"), email_suffix))
-    stats = t["orders"].groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"), F.max("created_at").alias("latest"))
-    now = ntz_literal(as_of)
 
-    def within(days: int) -> Column:
-        return F.col("latest") > now - F.make_dt_interval(days=F.lit(days))
-
-    recency = F.when(within(3), 4).when(within(7), 2).otherwise(1)
-    factor = F.when(F.col("orders") >= 5, 3).when(F.col("orders") >= 2, 2).otherwise(1)
-    return left_join_all(users, [(stats, "user_id")], {"orders": 0}).select(
-        "user_id", "orders", F.col("latest").alias("latest_order_at"), (recency * factor).alias("weight")
+def orders_by_local_time(t: Tables) -> DataFrame:
+    """Orders per local hour and weekday of the user's time zone (UTC where none is known)."""
+    users = t["users"].select(F.col("id").alias("user_id"), "time_zone")
+    zone = F.coalesce("time_zone", F.lit("UTC"))
+    local = t["orders"].select("user_id", "created_at").join(users, "user_id", "left").select(
+        local_hour(F.col("created_at"), zone).alias("local_hour"),
+        lookup(literal_map(WEEKDAYS), local_weekday(F.col("created_at"), zone), "?").alias("local_weekday"),
     )
+    return local.groupBy("local_hour", "local_weekday").agg(F.count(F.lit(1)).alias("orders"))
 
 
-# Demand by local hour, by local weekday (0 = Sunday), by region.
-HOUR_PROFILE = {
-    "0": 0.1,
-    "1": 0.08,
-    "2": 0.05,
-    "3": 0.05,
-    "4": 0.08,
-    "5": 0.15,
-    "6": 0.3,
-    "7": 0.5,
-    "8": 0.6,
-    "9": 0.8,
-    "10": 1.0,
-    "11": 1.4,
-    "12": 1.5,
-    "13": 1.2,
-    "14": 0.7,
-    "15": 0.5,
-    "16": 0.6,
-    "17": 1.2,
-    "18": 1.8,
-    "19": 1.7,
-    "20": 1.3,
-    "21": 0.8,
-    "22": 0.4,
-    "23": 0.2,
-}
-WEEKDAY_PROFILE = {"0": 1.2, "1": 0.9, "2": 0.9, "3": 1.0, "4": 1.0, "5": 1.3, "6": 1.5}
-GEO_PROFILE = {
-    "us_east": (1.2, "America/New_York"),
-    "us_central": (1.0, "America/Chicago"),
-    "us_west": (1.1, "America/Los_Angeles"),
-    "eu_west": (0.7, "Europe/London"),
-}
-
-
-def regional_demand(
-    times: DataFrame,
-    multipliers: DataFrame,
-    hours: Mapping[str, float] = HOUR_PROFILE,
-    weekdays: Mapping[str, float] = WEEKDAY_PROFILE,
-    geo: Mapping[str, tuple[float, str]] = GEO_PROFILE,
-    apply_global: bool = False,
-) -> DataFrame:
-    """Demand per time and region: hour x weekday x promotion x region weight.
-
-    `times` has a UTC column `at_utc`; `multipliers` comes from promo_region_multipliers. Each time
-    is expanded to the configured regions. 'global' promotions reach no region unless
-    apply_global is set.
-    """
-    regions = F.array(
-        *[F.struct(F.lit(r).alias("region"), F.lit(w).alias("weight"), F.lit(z).alias("zone")) for r, (w, z) in geo.items()]
-    )
-    grid = times.select("at_utc", F.inline(regions))
-    # a multiplier may exist for any region name, but only the configured regions are kept
-    known = multipliers.where(F.col("region").isin(*geo)).withColumnRenamed("multiplier", "promo_factor")
-    grid = join_unique(grid, known, "region", "left").withColumn("promo_factor", F.coalesce("promo_factor", F.lit(1.0)))
-    if apply_global:
-        everywhere = multipliers.where(F.col("region") == "global").agg(F.max("multiplier")).scalar()
-        grid = grid.withColumn("promo_factor", F.greatest("promo_factor", F.coalesce(everywhere, F.lit(1.0))))
-    hour, weekday = local_hour(F.col("at_utc"), F.col("zone")), local_weekday(F.col("at_utc"), F.col("zone"))
-    factors = grid.select(
-        "at_utc",
-        "region",
-        hour.alias("local_hour"),
-        weekday.alias("local_weekday"),
-        lookup(literal_map(hours), hour).alias("hour_factor"),
-        lookup(literal_map(weekdays), weekday).alias("weekday_factor"),
-        "promo_factor",
-        "weight",
-    )
-    demand = F.col("hour_factor") * F.col("weekday_factor") * F.col("promo_factor") * F.col("weight")
-    return factors.withColumn("demand", demand)
+def users_by_email_end(t: Tables, suffix: str) -> DataFrame:
+    """Users whose e-mail address ends with `suffix`."""
+    return t["users"].where(ends_with(F.col("email"), suffix)).select(F.col("id").alias("user_id"), "email")
 
 
 # --- audits, runs, configurations ------------------------------------------------------------
@@ -317,10 +242,10 @@ def transition_verdict(previous: Column, current: Column) -> Column:
 
 
 def order_transition_audit(
-    history: DataFrame, key: str = "id", seq: str = "_lsn", group_rows: int = HOT_GROUP_ROWS
+    history: DataFrame, key: str = "id", seq: str = "_lsn", parts: int | None = None
 ) -> DataFrame:
     """Each status row of a history with the status before it and a verdict on the step."""
-    rows = with_neighbour(history, [key], [seq], {"previous_status": "status"}, -1, group_rows)
+    rows = with_neighbour(history, [key], [seq], {"previous_status": "status"}, -1, parts)
     verdict = transition_verdict(F.col("previous_status"), F.col("status")).alias("verdict")
     return rows.select(key, seq, "previous_status", "status", verdict)
 

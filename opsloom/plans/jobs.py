@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from opsloom.operators.cdc import diff_changes
@@ -43,11 +43,17 @@ def run_agent(
     path = f"{folder}/agent_responses"
     drafts = store.read_or_empty(t.spark, path, schema)
     parsed = agent.agent_run(t.with_tables(drafts=drafts), responder, model, as_of, generated_at)
-    # a rejected message stays unanswered and is tried again by later batches; it is listed once
-    store.insert_new(f"{folder}/agent_quarantine", agent.quarantined(parsed), "message_id", ["message_id"])
+    # a rejected message stays unanswered and is tried again by later batches; every failure is kept
+    agent.quarantined(parsed).write.mode("append").parquet(f"{folder}/agent_quarantine")
     return store.insert_new(path, agent.accepted(parsed), "message_id", RESPONSE_ORDER, schema)
 
 
+def open_quarantine(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The failures of messages that no later batch has answered."""
+    answered = store.read_or_empty(spark, f"{folder}/agent_responses", schema)
+    return spark.read.parquet(f"{folder}/agent_quarantine").join(answered.select("message_id"), "message_id", "left_anti")
+
+
 def sync_console(df: DataFrame, pk: list[str], path: str) -> DataFrame:
     """Publish a checked snapshot of df and return the changes since the previous snapshot."""
     version = store.published_version(df.sparkSession, path)

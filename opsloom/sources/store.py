@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.operators.rows import latest_per_key, only_keys_of, unprocessed
+from opsloom.operators.rows import latest_per_key, unprocessed
 from opsloom.session import stored
 
 VERSIONS = T.StructType([T.StructField("version", T.StringType())])
@@ -101,6 +101,6 @@ def insert_new(path: str, df: DataFrame, key: str, order: Sequence[str], schema:
     spark = df.sparkSession
     schema = schema or df.schema
     batch = stored(df.select(*schema.fieldNames()), "batch")
-    target = only_keys_of(read_or_empty(spark, path, schema).select(key), batch, key)
+    target = read_or_empty(spark, path, schema).select(key).join(batch.select(key), key, "left_semi")
     new_rows(target, batch, key, order).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from opsloom import schemas
 from opsloom.functions.jsons import parse_replies
-from opsloom.operators import rows as row_ops
 from opsloom.plans import agent, gold, jobs
 from opsloom.session import stored
 from tests.helpers import at, case, frame, key, message, order, rows, tables, user
@@ -75,84 +74,86 @@ def test_unanswered(spark):
     assert selected_ids(desk(spark, [draft(12, 1), draft(11, 1), draft(21, 2)])) == [51]
 
 
-def test_unanswered_among_too_many_cases_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(row_ops, "SMALL_KEYS", 0)
-    assert selected_ids(desk(spark)) == [12, 21, 51]
-    assert selected_ids(desk(spark, [draft(12, 1)])) == [11, 21, 51]
-    assert selected_ids(desk(spark, [draft(12, 1)]), strict=True) == [21, 51]
-
-
 def by_case(df, column="case_id"):
     return {int.from_bytes(r[column], "big"): r for r in rows(df)}
 
 
-def prompt_in_python(t, picked):
-    """The prompt of one message, built case by case from collected rows."""
-    ctx = by_case(gold.support_case_context(t, AS_OF)).get(int.from_bytes(picked["case_id"], "big"))
-    profile = {r["user_id"]: r for r in rows(gold.user_support_profile(t, AS_OF))}.get(picked["user_id"])
-    orders = sorted((r for r in rows(t["orders"]) if r["user_id"] == picked["user_id"]), key=lambda r: r["created_at"], reverse=True)[:5]
-    thread = sorted((r for r in rows(t["support_messages"]) if r["case_id"] == picked["case_id"]), key=lambda r: r["created_at"])
-    money = "${:.2f}".format
-    out = [f"Subject: {picked['subject']}", f"Status: {picked['status']}"]
-    if ctx:
-        out.append(f"Customer: {ctx['user_name']} ({ctx['user_email']}), region: {ctx['user_region']}")
-        out += [f"Messages so far: {ctx['message_count']}", f"Admin has replied: {ctx['has_admin_reply']}"]
-        if ctx["first_response_minutes"] is not None:
-            out.append(f"First response time: {ctx['first_response_minutes']} minutes")
-        out += [f"Linked refunds: {money(ctx['linked_refund_cents'] / 100)}", f"Linked credits: {money(ctx['linked_credit_cents'] / 100)}"]
-    if profile:
-        out += ["", "Customer Profile:"]
-        out.append(f"  Lifetime orders: {profile['lifetime_order_count']}, spend: {money(profile['lifetime_spend_cents'] / 100)}")
-        out.append(f"  Last 90 days: {profile['total_orders_90d']} orders, {money(profile['total_spend_90d_cents'] / 100)} spent")
-        out.append(f"  Support cases (90d): {profile['support_cases_90d']}")
-        out.append(f"  Refunds (90d): {money(profile['total_refunds_90d_cents'] / 100)}")
-        out.append(f"  Credits (90d): {money(profile['total_credits_90d_cents'] / 100)}")
-    if orders:
-        out += ["", "Recent Orders (newest first):"]
-        out += [f"  [{o['created_at']:%Y-%m-%d %H:%M}] {money(o['total_in_cents'] / 100)} — {o['status']}" for o in orders]
-        out.append(f"  Most recent order total: {money(orders[0]['total_in_cents'] / 100)}")
-    else:
-        out += ["", "No recent orders found."]
-    out += ["", "Message Thread:"]
-    out += [f"  [{m['created_at']:%H:%M}] {'ADMIN' if m['admin_id'] else 'CUSTOMER'}: {m['content']}" for m in thread]
-    return "\n".join(out)
-
-
-def test_prompts_equal_a_case_by_case_build(spark, monkeypatch):
+def texts(prompts):
+    """Each message's whole prompt from its pieces."""
+    pieces = sorted(rows(prompts), key=lambda r: (r["sent_at"] is not None, r["sent_at"] or 0, r["line_id"] or b""))
+    out = {}
+    for r in pieces:
+        out.setdefault(int.from_bytes(r["case_id"], "big"), []).append(r["text"])
+    return {case_id: "\n".join(parts) for case_id, parts in out.items()}
+
+
+PROMPT_1 = """Subject: Late delivery
+Status: open
+Customer: User 1 (u1@example.org), region: us_east
+Messages so far: 3
+Admin has replied: True
+First response time: 9 minutes
+Linked refunds: $0.00
+Linked credits: $0.00
+
+Customer Profile:
+  Lifetime orders: 7, spend: $70.28
+  Last 90 days: 7 orders, $70.28 spent
+  Support cases (90d): 3
+  Refunds (90d): $0.00
+  Credits (90d): $0.00
+
+Recent Orders (newest first):
+  [2024-05-07 10:30] $10.07 — delivered
+  [2024-05-06 10:30] $10.06 — delivered
+  [2024-05-05 10:30] $10.05 — delivered
+  [2024-05-04 10:30] $10.04 — delivered
+  [2024-05-03 10:30] $10.03 — delivered
+  Most recent order total: $10.07
+
+Message Thread:
+  [10:01] CUSTOMER: first
+  [10:03] CUSTOMER: second
+  [10:09] ADMIN: answer"""
+
+PROMPT_5 = """Subject: Late delivery
+Status: open
+
+Recent Orders (newest first):
+  [2024-05-01 10:30] $0.77 — delivered
+  Most recent order total: $0.77
+
+Message Thread:
+  [10:01] CUSTOMER: hello"""
+
+
+def test_prompts(spark):
     t = desk(spark)
     picked = stored(agent.unanswered_messages(t), "picked")
-    prompts = by_case(agent.case_prompts(t, picked, AS_OF))
-    assert {c: p["prompt"] for c, p in prompts.items()} == {
-        int.from_bytes(r["case_id"], "big"): prompt_in_python(t, r) for r in rows(picked)
-    }
-    assert prompts[1]["latest_order_cents"] == 1007
-    # so does a selection that is too large to broadcast
-    monkeypatch.setattr(row_ops, "SMALL_KEYS", 0)
-    assert by_case(agent.case_prompts(t, picked, AS_OF)) == prompts
+    prompts = texts(agent.case_prompts(t, picked, AS_OF))
+    assert prompts[1] == PROMPT_1 and prompts[5] == PROMPT_5
+    assert prompts[2].endswith("CUSTOMER: line one\nline two")
     # stored gold tables give the same prompts
     again = agent.case_prompts(
         t, picked, AS_OF, context=gold.support_case_context(t, AS_OF), profile=gold.user_support_profile(t, AS_OF)
     )
-    assert by_case(again) == prompts
+    assert texts(again) == prompts
 
 
-def test_large_threads_come_in_parts(spark):
+def test_a_case_with_most_messages_is_answered(spark):
     rng = random.Random(2)
-    long = [message(100 + i, 1, f"2024-05-01 {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", text=f"text {i} " * 5) for i in range(200)]
+    long = [message(100 + i, 1, f"2024-05-01 {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", text=f"text {i} " * 5) for i in range(3000)]
     t = tables(spark, users=[user(1)], support_cases=[case(1, "u1", "2024-05-01 00:00:00"), case(2, "u1", "2024-05-01 00:00:00")],
                support_messages=[*long, message(1, 2, "2024-05-01 10:00:00")])
-    lines = agent.thread_lines(t)
-    whole = by_case(agent.thread_parts(lines))
-    cut = rows(agent.thread_parts(lines.repartition(4), max_bytes=1000))
-    parts = sorted((r["part"], r["thread_text"]) for r in cut if r["case_id"] == key(1))
-    assert len(parts) > 1
-    assert "\n".join(text for _, text in parts) == whole[1]["thread_text"]
-    assert [r["thread_text"] for r in cut if r["case_id"] == key(2)] == [whole[2]["thread_text"]]
-    prompts = by_case(agent.case_prompts(t, stored(agent.unanswered_messages(t), "p"), AS_OF, max_bytes=1000))
-    assert (prompts[1]["too_large"], prompts[2]["too_large"]) == (True, False)
-    replies = by_case(agent.respond(agent.case_prompts(t, stored(agent.unanswered_messages(t), "p"), AS_OF, max_bytes=1000), lambda p: ["{}"] * len(p), "m"))
-    assert replies[1]["responder_error"] == "prompt too large" and replies[1]["raw_reply"] is None
-    assert replies[2]["raw_reply"] == "{}"
+    prompts = agent.case_prompts(t, stored(agent.unanswered_messages(t), "p"), AS_OF)
+
+    def read(instructions, pieces):
+        stamps = [p.split("]")[0] for p in pieces if p.startswith("  [")]
+        assert instructions == "be kind" and stamps == sorted(stamps)
+        return agent.Reply(str(len(stamps)), "long-model") if len(stamps) > 1 else str(len(stamps))
+
+    got = by_case(agent.respond(prompts.repartition(5), read, "m", "be kind"))
+    assert {c: (r["raw_reply"], r["model"], r["responder_error"]) for c, r in got.items()} == {1: ("3000", "long-model", None), 2: ("1", "m", None)}
 
 
 REPLIES = {
@@ -207,26 +208,27 @@ def test_valid_replies_agree_with_the_json_module(spark):
         assert r["suggested_amount_cents"] == int(doc["suggested_amount_cents"])
 
 
-def test_failing_prompts_do_not_spoil_their_batch(spark):
+def test_a_failing_prompt_does_not_spoil_others(spark):
     t = desk(spark)
 
-    def moody(prompts):
-        if any("Missing items" in p for p in prompts):
+    def moody(instructions, pieces):
+        if "Missing items" in next(pieces):
             raise ValueError("no")
-        return ["{}"] * len(prompts)
+        return "{}"
 
     got = by_case(agent.respond(agent.case_prompts(t, agent.unanswered_messages(t), AS_OF).coalesce(1), moody, "m"))
     assert (got[1]["raw_reply"], got[1]["responder_error"]) == ("{}", None)
     assert (got[2]["raw_reply"], got[2]["responder_error"]) == (None, "ValueError: no")
-    parsed = by_case(agent.validated(agent.respond(agent.case_prompts(t, agent.unanswered_messages(t), AS_OF), moody, "m"), now()))
-    assert parsed[2]["reject_reason"] == "responder error"
+    parsed = agent.validated(agent.respond(agent.case_prompts(t, agent.unanswered_messages(t), AS_OF), moody, "m"), now())
+    listed = rows(agent.quarantined(parsed))
+    assert [(r["reject_reason"], r["responder_error"]) for r in listed] == [("responder error", "ValueError: no")]
 
 
 def test_agent_job_is_idempotent(spark, tmp_path):
     t = jobs.refresh_gold(desk(spark), str(tmp_path / "gold"), AS_OF)
 
-    def reply(prompts):
-        return ['{"case_summary":"s","suggested_action":"credit","suggested_amount_cents":50}' for _ in prompts]
+    def reply(instructions, pieces):
+        return '{"case_summary":"s","suggested_action":"credit","suggested_amount_cents":50}'
 
     def run():
         return jobs.run_agent(t, reply, "rules", AS_OF, now(), str(tmp_path), schemas.AGENT_RESPONSE_SCHEMA)
@@ -270,18 +272,22 @@ def test_policy(spark):
     assert policy(spark, "Overcharged", orders=[1000]) == ("no_action", 0)
     assert policy(spark, "Missing items") == ("refund", 0)
     assert policy(spark, status="resolved", refund=5, orders=[1000]) == ("no_action", 0)
-    assert policy(spark, text=agent.THANKS[0], admin=True, orders=[1000]) == ("resolve", 0)
-    assert policy(spark, text=agent.THANKS[0], orders=[1000]) == ("credit", 150)
+    assert policy(spark, text="ok, Thank you very much", admin=True, orders=[1000]) == ("resolve", 0)
+    assert policy(spark, text="I appreciate that", refund=5, orders=[1000]) == ("resolve", 0)
+    assert policy(spark, text="ok, thank you", orders=[1000]) == ("credit", 150)
+    assert policy(spark, text="no, still cold", admin=True, orders=[1000]) == ("credit", 150)
 
 
-def test_rejected_messages_are_listed_once_and_tried_again(spark, tmp_path):
+def test_rejected_messages_are_tried_again_and_every_failure_is_kept(spark, tmp_path):
     t = desk(spark)
+    schema = schemas.AGENT_RESPONSE_SCHEMA
 
     def run(reply):
-        return jobs.run_agent(t, lambda prompts: [reply] * len(prompts), "m", AS_OF, now(), str(tmp_path), schemas.AGENT_RESPONSE_SCHEMA)
+        return jobs.run_agent(t, lambda instructions, pieces: reply, "m", AS_OF, now(), str(tmp_path), schema)
 
-    assert run("no json").count() == run("no json").count() == 0
-    rejected = spark.read.parquet(f"{tmp_path}/agent_quarantine")
-    assert selected_of(rejected) == [12, 21, 51]
-    assert {r["reject_reason"] for r in rows(rejected)} == {"not json"}
+    assert run("no json").count() == run("[1]").count() == 0
+    rejected = jobs.open_quarantine(spark, str(tmp_path), schema)
+    assert selected_of(rejected) == [12, 12, 21, 21, 51, 51]
+    assert {r["reject_reason"] for r in rows(rejected)} == {"not json", "not an object"}
     assert selected_of(run("{}")) == [12, 21, 51]
+    assert jobs.open_quarantine(spark, str(tmp_path), schema).count() == 0

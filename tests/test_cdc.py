@@ -107,9 +107,7 @@ def test_stream_equals_batch(spark, tmp_path_factory, seed, parts):
     assert state(cs.read_current_state(spark, f"{folder}/t", FLOW, SCHEMA)) == expected(history)
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_late_row_after_delete_stays_deleted_across_batches_and_compaction(spark, tmp_path, monkeypatch, small):
-    monkeypatch.setattr(cs, "SMALL_KEYS", small)
+def test_late_row_after_delete_stays_deleted_across_batches_and_compaction(spark, tmp_path):
     bronze, path = str(tmp_path / "bronze"), str(tmp_path / "t")
 
     def push(*changes):
@@ -169,12 +167,24 @@ def test_intervals_with_and_without_hot_keys(spark):
     history = random_history(11, n=200, keys=4)
     df = spark.createDataFrame(history, SCHEMA).repartition(5)
     deleted = F.col("_change_type") == "delete"
-    for group_rows in (1_000_000, 60, 3):
-        got = cdc.scd2_intervals(df, ["id"], ["_lsn"], "_timestamp", deleted, group_rows=group_rows)
+    for parts in (None, 1, 9):
+        got = cdc.scd2_intervals(df, ["id"], ["_lsn"], "_timestamp", deleted, parts=parts)
         found = sorted(((r.id, r.v, r.valid_from, r.valid_to, r.is_current) for r in got.collect()), key=repr)
         assert found == intervals(history)
 
 
+def test_equal_positions_are_decided_by_the_transaction(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", "insert", 5, 1, at), (1, "b", "update", 5, 2, at), (2, "x", "update", 7, 9, at), (2, "y", "insert", 7, 3, at)]
+    for order in (rows, rows[::-1]):
+        history = spark.createDataFrame(order, SCHEMA).coalesce(1)
+        assert state(cdc.Flow("t").current(history)) == [(1, "b"), (2, "x")]
+        folder = f"{tmp_path}/{order[0][1]}"
+        history.write.parquet(f"{folder}/bronze")
+        cs.start_current_state(read_history_stream(spark, f"{folder}/bronze", SCHEMA), cdc.Flow("t"), f"{folder}/t").awaitTermination()
+        assert state(cs.read_current_state(spark, f"{folder}/t", cdc.Flow("t"), SCHEMA)) == [(1, "b"), (2, "x")]
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     old=st.dictionaries(st.integers(0, 9), st.sampled_from(["a", "b", None])),

@@ -116,31 +116,16 @@ def test_no_open_promotions(spark):
     assert [(r["promo_count"], r["promo_codes"]) for r in got] == [(0, "")] * 3
 
 
-def test_engagement(spark):
+def test_orders_by_local_time(spark):
     t = tables(
         spark,
-        users=[user(1), user(2), user(3), user(4)],
-        orders=[order(i, "u1", 1, "2024-05-08 12:00:00") for i in range(5)]
-        + [order(10, "u2", 1, "2024-05-07 12:00:00"), order(11, "u2", 1, "2024-05-04 12:00:00")]
-        + [order(12, "u3", 1, "2024-05-03 12:00:00")],
+        users=[user(1) | {"time_zone": "Europe/London"}, user(2) | {"time_zone": "America/Los_Angeles"}, user(3) | {"time_zone": None}],
+        # Sunday 03:30 UTC: 04:30 in London's summer time, Saturday 20:30 in the west
+        orders=[order(i, f"u{1 + i % 3}", 1, "2024-05-12 03:30:00") for i in range(7)] + [order(9, "gone", 1, "2024-05-12 03:30:00")],
     )
-    # exactly three days ago is not within three days
-    assert {r["user_id"]: r["weight"] for r in rows(commerce.engagement_weights(t, NOW))} == {"u1": 12, "u2": 4, "u3": 1, "u4": 1}
-    assert [r["user_id"] for r in rows(commerce.engagement_weights(t, NOW, "1@example.org"))] == ["u1"]
-
-
-def test_demand(spark):
-    t = offers(spark)
-    times = spark.createDataFrame([(at("2024-05-12 03:30:00"),)], "at_utc timestamp_ntz")
-    multipliers = commerce.promo_region_multipliers(t, NOW)
-    got = {r["region"]: r for r in rows(commerce.regional_demand(times, multipliers))}
-    # Sunday 03:30 in London time zones: Sunday 04:30 there (summer time), Saturday evening in the west
-    assert (got["eu_west"]["local_hour"], got["eu_west"]["local_weekday"]) == (4, 0)
-    assert (got["us_west"]["local_hour"], got["us_west"]["local_weekday"]) == (20, 6)
-    assert abs(got["us_east"]["demand"] - 0.2 * 1.5 * 1.5 * 1.2) < 1e-12
-    lifted = spark.createDataFrame([("global", 3.0), ("us_east", 1.5), ("mars", 9.0)], "region string, multiplier double")
-    assert {r["promo_factor"] for r in rows(commerce.regional_demand(times, lifted))} == {1.0, 1.5}
-    assert {r["promo_factor"] for r in rows(commerce.regional_demand(times, lifted, apply_global=True))} == {3.0}
+    got = {(r["local_hour"], r["local_weekday"]): r["orders"] for r in rows(commerce.orders_by_local_time(t))}
+    assert got == {(4, "Sun"): 3, (20, "Sat"): 2, (3, "Sun"): 3}
+    assert [r["user_id"] for r in rows(commerce.users_by_email_end(t, "1@example.org"))] == ["u1"]
 
 
 def test_transitions(spark):
@@ -149,8 +134,8 @@ def test_transitions(spark):
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", transition_verdict(F.col("a"), F.col("b")).alias("v"))
     assert [r.v for r in df.collect()] == ["start", "ok", "ok", "violation", "warning", "unchanged", "violation", "ok", "warning"]
     history = spark.createDataFrame([(1, 2, "preparing"), (1, 1, "pending"), (1, 9, "cancelled"), (2, 5, "pending")], "id int, _lsn int, status string")
-    for group_rows in (100, 1):
-        audit = commerce.order_transition_audit(history, group_rows=group_rows)
+    for parts in (None, 3):
+        audit = commerce.order_transition_audit(history, parts=parts)
         assert {(r.id, r._lsn): (r.previous_status, r.verdict) for r in audit.collect()} == {
             (1, 1): (None, "start"), (1, 2): ("pending", "ok"), (1, 9): ("preparing", "violation"), (2, 5): (None, "start"),
         }

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from opsloom.operators.ordered import dense_index, hot_keys, range_chunks, with_neighbour
+from opsloom.operators.ordered import dense_index, range_chunks, with_neighbour
 from opsloom.operators import rows
 from opsloom.operators.rows import first_reply_after_last, flag_latest, latest_per_key, split_valid, top_n_per_key
 
@@ -29,19 +29,13 @@ def test_neighbours_of_hot_keys(spark):
                 j = i + step
                 near = items[j] if 0 <= j < len(items) else (None, None)
                 want.add((k, s, v, near[0], near[1]))
-        for group_rows in (10_000, 50, 1):
-            got = with_neighbour(df, ["k"], ["s"], {"ns": "s", "nv": "v"}, step, group_rows)
+        for parts in (None, 1, 7, 40):
+            got = with_neighbour(df, ["k"], ["s"], {"ns": "s", "nv": "v"}, step, parts)
             assert got.columns == ["k", "s", "v", "ns", "nv"]
             assert {tuple(r) for r in got.collect()} == want
             assert got.count() == len(data)
 
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame(skewed(), "k int, s int, v string")
-    assert [r._hot_k for r in hot_keys(df, ["k"], 100).collect()] == [0]
-    assert hot_keys(df, ["k"], 10_000) is None
-
-
 def test_dense_index(spark):
     rng = random.Random(1)
     values = rng.sample(range(10_000), 500)
@@ -93,13 +87,3 @@ def test_join_unique(spark):
     left = rows.join_unique(big, side, "k", "left")
     assert {tuple(r) for r in left.collect()} == {(1, "a", "x"), (1, "b", "x"), (2, "c", None), (None, "d", None)}
     assert {r.v for r in rows.join_unique(big, side, "k", "left_anti").collect()} == {"c", "d"}
-
-
-def test_key_filters_with_and_without_broadcast(spark, monkeypatch):
-    big = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
-    few = spark.createDataFrame([(1,), (1,)], "k int")
-    for limit in (10, 0):
-        monkeypatch.setattr(rows, "SMALL_KEYS", limit)
-        assert {r.v for r in rows.only_keys_of(big, few, "k", always=True).collect()} == {"a", "b"}
-        assert {r.v for r in rows.without_keys_of(big, few, "k").collect()} == {"c", "d"}
-    assert rows.only_keys_of(big, few, "k").count() == 4
