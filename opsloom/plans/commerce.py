@@ -26,8 +26,8 @@ def order_detail(t: Tables) -> DataFrame:
     orders = t["orders"].select(
         F.col("id").alias("order_id"), "user_id", "status", "total_in_cents", F.col("created_at").alias("ordered_at")
     )
-    items = join_unique(t["order_items"], menu, "menu_item_id")
-    return join_unique(items, orders, "order_id").select(
+    items = t["order_items"].join(menu, "menu_item_id")
+    return items.join(orders, "order_id").select(
         "order_id", "user_id", "status", "total_in_cents", "ordered_at", "menu_item_id", "name", "quantity", "price_in_cents"
     )
 
@@ -44,14 +44,14 @@ def user_orders(t: Tables, n: int | None = None) -> DataFrame:
 def cart_lines(t: Tables) -> DataFrame:
     """Cart items at the current menu price; items without a menu row are left out."""
     menu = t["menu_items"].select(F.col("id").alias("menu_item_id"), "name", "price_in_cents")
-    lines = join_unique(t["cart_items"], menu, "menu_item_id")
+    lines = t["cart_items"].join(menu, "menu_item_id")
     return lines.select("cart_id", "menu_item_id", "name", "quantity", "price_in_cents")
 
 
-def cart_pricing(t: Tables) -> DataFrame:
-    """Total per cart at current menu prices. Promotions do not change the total."""
+def cart_totals(lines: DataFrame, t: Tables) -> DataFrame:
+    """Total per cart of priced lines."""
     carts = t["carts"].select(F.col("id").alias("cart_id"), "user_id")
-    totals = cart_lines(t).groupBy("cart_id").agg(
+    totals = lines.groupBy("cart_id").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("quantity").alias("quantity"),
         F.sum(amount(F.col("price_in_cents"), F.col("quantity"))).alias("total_in_cents"),
@@ -59,12 +59,18 @@ def cart_pricing(t: Tables) -> DataFrame:
     return totals.join(carts, "cart_id").select("cart_id", "user_id", "lines", "quantity", "total_in_cents")
 
 
+def cart_pricing(t: Tables) -> DataFrame:
+    """Total per cart at current menu prices. Promotions do not change the total."""
+    return cart_totals(cart_lines(t), t)
+
+
 def checkout(t: Tables, created_at: Column) -> dict[str, DataFrame]:
     """Every non-empty cart as an order and its items, and the carts and items that remain.
 
-    The priced carts are stored, so that all outputs are about the same carts.
+    The priced lines are stored once and summed up, so that totals and items tell the same prices.
     """
-    priced = stored(cart_pricing(t), "priced-carts")
+    lines = stored(cart_lines(t), "priced-lines")
+    priced = cart_totals(lines, t)
     done = priced.select("cart_id")
     return {
         "orders": priced.select(
@@ -74,9 +80,9 @@ def checkout(t: Tables, created_at: Column) -> dict[str, DataFrame]:
             "total_in_cents",
             created_at.alias("created_at"),
         ),
-        "order_items": cart_lines(t)
-        .join(done, "cart_id", "left_semi")
-        .select(F.col("cart_id").alias("order_id"), "menu_item_id", "quantity", "price_in_cents"),
+        "order_items": lines.join(t["carts"].select(F.col("id").alias("cart_id")), "cart_id", "left_semi").select(
+            F.col("cart_id").alias("order_id"), "menu_item_id", "quantity", "price_in_cents"
+        ),
         "carts": t["carts"].join(done, F.col("id") == F.col("cart_id"), "left_anti"),
         "cart_items": t["cart_items"].join(done, "cart_id", "left_anti"),
     }
@@ -91,7 +97,7 @@ def cart_line_merge(adds: DataFrame) -> DataFrame:
 def delivery_board(t: Tables) -> DataFrame:
     """Deliveries with their driver's name."""
     drivers = t["drivers"].select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
-    return join_unique(t["deliveries"], drivers, "driver_id").select(
+    return t["deliveries"].join(drivers, "driver_id").select(
         "id", "order_id", "driver_id", "status", "started_at", "delivered_at", "driver_name"
     )
 
@@ -177,7 +183,7 @@ def drop_stale_carts(t: Tables, as_of: dt.datetime | str, idle_minutes: int = 12
     stale = stale_carts(t, as_of, idle_minutes).select(F.col("id").alias("cart_id"))
     return {
         "carts": t["carts"].where(~F.coalesce(older_than(F.col("updated_at"), as_of, idle_minutes), F.lit(False))),
-        "cart_items": join_unique(t["cart_items"], stale, "cart_id", "left_anti"),
+        "cart_items": t["cart_items"].join(stale, "cart_id", "left_anti"),
     }
 
 
