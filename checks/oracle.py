@@ -422,6 +422,7 @@ ORACLE: dict[str, str] = {
     "cdc_as_of": AS_OF_SQL,
     "cdc_diff": DIFF,
     **SILVER,
+    **{f"{name}_stream": sql for name, sql in SILVER.items()},
     "unanswered_messages": _with(UNANSWERED_CTE, "SELECT * FROM waiting"),
     "unanswered_messages_strict": STRICT,
     "case_prompts": _with(
