@@ -5,7 +5,8 @@ it is small and differs with the document's length. Therefore items are partitio
 al., 2016): an item of at most Q shingles, Q a power of two, is searched in windows of two neighbouring blocks of Q
 shingles, in one of which a passage of up to Q lies whole. With a containment of 0.8 the item and that window
 have a Jaccard similarity of 0.19 or more, and of `PERMUTATIONS` = 32 minima at least one agrees with a probability
-of 0.9988 or more. Candidates are verified by the exact share of the item's shingles in the whole document.
+of 0.9988 or more. Items of up to `FEW` shingles are too small for such windows; they are looked up by each of their
+shingles, and none is missed. Candidates are verified by the exact share of the item's shingles in the whole document.
 
 The items are the query set. They go to the tasks in blocks of a bounded number of shingles, each block in one pass
 over all documents; nothing is shuffled, and a passage that many documents share costs each of them its own check.
@@ -22,6 +23,8 @@ from opsloom.llm.tables import plain_words
 
 SHINGLE = 5
 PERMUTATIONS = 32
+#: Items of so many shingles or fewer are looked up without minima; the least size class begins above.
+FEW = 4
 #: Shingles of items in a block that each task holds: 8 bytes each, and `PERMUTATIONS` minima an item.
 BLOCK_SHINGLES = 1 << 20
 BLOCK_ITEMS = 1 << 15
@@ -94,7 +97,14 @@ class Items:
         self.shingles = [s for _, s in rows]
         factors = permutations()
         by_class: dict[int, list[int]] = {}
+        few = [(s, k) for k, own in enumerate(self.shingles) if len(own) <= FEW for s in own.tolist()]
+        self.few = np.array(sorted({s for s, _ in few}), dtype=np.uint64)
+        self.few_items: list[list[int]] = [[] for _ in self.few]
+        for s, k in few:
+            self.few_items[int(np.searchsorted(self.few, np.uint64(s)))].append(k)
         for k, s in enumerate(self.shingles):
+            if len(s) <= FEW:
+                continue
             by_class.setdefault(size_class(len(s)), []).append(k)
         self.classes = {}
         for q, members in sorted(by_class.items()):
@@ -105,14 +115,20 @@ class Items:
             self.classes[q] = (seen, [minima[o, j] for j, o in enumerate(order)], [np.array(members)[o] for o in order])
 
     def candidates(self, stream, counts) -> set[tuple[int, int]]:
-        """(text, item) pairs of which a window and the item share a minimum."""
+        """(text, item) pairs of which a window and the item share a minimum, or the text and a small item a shingle."""
         import numpy as np
 
         if not len(stream):
             return set()
-        factors, base = permutations(), min(self.classes)
-        level, owner, minima = None, None, None
         out: set[tuple[int, int]] = set()
+        if len(self.few):
+            near = np.minimum(np.searchsorted(self.few, stream), len(self.few) - 1)
+            at = np.nonzero(self.few[near] == stream)[0]
+            texts = np.searchsorted(np.cumsum(counts), at, "right")
+            for text, s in set(zip(texts.tolist(), near[at].tolist(), strict=True)):
+                out.update((text, k) for k in self.few_items[s])
+        factors, base = permutations(), min(self.classes, default=0)
+        level, owner, minima = None, None, None
         for q in sorted(self.classes):
             if level is None:
                 blocks = -(-counts // base)

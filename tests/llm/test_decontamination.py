@@ -71,3 +71,19 @@ def test_edges(spark):
     assert got == {(9, 1), (7, 4)}
     assert d.with_items(empty(spark), spark.createDataFrame(items, ITEM)).count() == 0
     assert d.with_items(docs, spark.createDataFrame([], ITEM)).filter(F.size("found") > 0).count() == 0
+
+
+def test_items_of_five_to_eight_words_in_long_texts(spark):
+    rng = random.Random(84)
+    items = [(k, " ".join(f"item{k}word{i}" for i in range(5 + k % 4))) for k in range(200)]
+    docs = []
+    for i in range(50):
+        words = prose(i, 2000).split(" ")
+        for _, item in items[4 * i : 4 * i + 4]:
+            at = rng.randrange(len(words))
+            words[at:at] = item.split(" ")
+        docs.append((i, " ".join(words)))
+    out = d.with_items(table(spark, [t for _, t in docs]), spark.createDataFrame(items, ITEM))
+    got = {(r["doc_id"], f["item_id"]): (f["n_shared"], f["n_shingles"]) for r in out.collect() for f in r["found"]}
+    want = contained(docs, items)
+    assert len(want) > 190 and got == want
