@@ -29,13 +29,16 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclasses.dataclass(frozen=True)
 class Limits:
-    """The rules' parameters. A language is a reference if it has `language` of all words; a word is
-    common if it has `common` of a language's words: at most 1 / language references of 1 / common words.
+    """The rules' parameters. A language is a reference if it has `language` of all words, or `language_words` of them,
+    a number from which its own sampling error is small; a word is common if it has `common` of a language's
+    words: at most `languages` references (those of most words) of 1 / common words.
     """
 
     min_words: int = 50
     max_repeated: int = 50  # percent of the words
     language: float = 0.02
+    language_words: int = 20_000
+    languages: int = 200
     common: float = 0.004
     class_words: int = 50  # classes are judged from so many words on
     word_words: int = 100  # common words are
@@ -153,9 +156,9 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, Referenc
         yield from _rows(rows)
 
     first = stored(_counted(docs, survey), "survey")
-    totals = {r["lang"]: r["n"] for r in first.filter("kind = 'words'").orderBy(F.desc("n")).limit(int(1 / limits.language)).collect()}
+    totals = {r["lang"]: r["n"] for r in first.filter("kind = 'words'").orderBy(F.desc("n")).limit(limits.languages).collect()}
     everything = first.filter("kind = 'words'").agg(F.sum("n")).first()[0] or 0
-    known = [lang for lang, n in totals.items() if n and n >= limits.language * everything]
+    known = [lang for lang, n in totals.items() if n and n >= min(limits.language * everything, limits.language_words)]
     of_known = first.filter(F.col("lang").isin(known))
     candidates: dict[str, set[bytes]] = {lang: set() for lang in known}
     for r in of_known.filter("kind = 'candidate'").select("lang", "name").toLocalIterator():
@@ -197,11 +200,12 @@ MEASURES = (
 )
 
 
-def judge(docs: DataFrame, known: dict[str, Reference], limits: Limits = Limits(), text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, known: dict[str, Reference], limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with the measures and `kept`; own columns with these names are replaced.
 
     A null text has no words and fails the base rules, as every text under `min_words` does. A distance
-    that is not judged (text too short, no reference) is null and rejects nothing. The word distance compares the
+    that is not judged (text too short, no reference, or none of the language that the document names) is null and rejects
+nothing; a document that names no language is judged by the nearest reference. The word distance compares the
     reference's common words and all others as one class.
     """
     import re
@@ -209,21 +213,23 @@ def judge(docs: DataFrame, known: dict[str, Reference], limits: Limits = Limits(
     names = [part.split()[0] for part in MEASURES.split(", ")]
     rest = docs.drop(*names)
     at = rest.columns.index(text)
+    named = rest.columns.index(lang) if lang in rest.columns else None
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), MEASURES])
     languages = list(known)
 
-    def measure(value: str | None, word) -> tuple:
+    def measure(value: str | None, language: str | None, word) -> tuple:
         import numpy as np
 
         body = value or ""
         counts = base_counts(body, word)
         failed = counts[0] < limits.min_words or 100 * counts[4] > limits.max_repeated * counts[0]
         by_class = by_word = nearest = None
-        if counts[0] >= limits.class_words and languages:
+        judged = bool(known) and (language is None or language in known)
+        if counts[0] >= limits.class_words and judged:
             own = class_counts(body)
             distances = [js_distance(own / own.sum(), known[x].classes) for x in languages]
             by_class, nearest = min(zip(distances, languages, strict=True))
-        if counts[0] >= limits.word_words and languages:
+        if counts[0] >= limits.word_words and judged:
             words = plain_words(body)
             seen, total = Counter(words), max(len(words), 1)
             distances = []
@@ -243,7 +249,8 @@ def judge(docs: DataFrame, known: dict[str, Reference], limits: Limits = Limits(
         word = re.compile(WORD)
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
         for batch in batches:
-            found = [measure(t.as_py(), word) for t in batch.column(at)]
+            named_languages = [None] * batch.num_rows if named is None else [None if x is None else str(x) for x in batch.column(named).to_pylist()]
+            found = [measure(t.as_py(), x, word) for t, x in zip(batch.column(at), named_languages, strict=True)]
             new = [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 

@@ -5,7 +5,7 @@ import re
 from hypothesis import given
 from hypothesis import strategies as st
 
-from opsloom.llm.quality_divergence import base_counts, js_distance, judge, references
+from opsloom.llm.quality_divergence import Limits, base_counts, js_distance, judge, references
 from opsloom.llm.tables import WORD
 from tests.llm.helpers import edges, empty, prose, table
 
@@ -60,3 +60,17 @@ def test_edges(spark):
             assert r["n_words"] == 0 and r["base_failed"] and not r["kept"] and r["class_distance"] is None
     assert next(r for r in rows if r["doc_id"] == 7)["n_repeat_words"] == 20_000
     assert judge(empty(spark), references(empty(spark))).count() == 0
+
+
+def test_clean_documents_of_a_language_of_one_percent_stay(spark):
+    to_cyrillic = str.maketrans("abdefghijklmnoprstuvc", "абдефгхийклмнопрстувц")
+    rows = [(i, prose(i, 300), "en") for i in range(198)] + [(198 + i, prose(500 + i, 300).lower().translate(to_cyrillic), "ru") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = references(docs)
+    judged = {r["doc_id"]: r for r in judge(docs, known).collect()}
+    assert set(known) == {"en"} and all(judged[i]["kept"] for i in range(200))
+    assert all(judged[i]["class_distance"] is None and judged[i]["word_distance"] is None for i in (198, 199))
+    small = Limits(language_words=500)
+    known = references(docs, small)
+    judged = {r["doc_id"]: r for r in judge(docs, known, small).collect()}
+    assert set(known) == {"en", "ru"} and all(judged[i]["kept"] and judged[i]["nearest"] == "ru" for i in (198, 199))
