@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
 from opsloom.llm.q_decontamination import op8_decontamination
+from opsloom.llm.q_divergence import DIVERGENCE_SQL, op13_count_cells
 from opsloom.llm.q_hilbert import op3_hilbert
 from opsloom.llm.q_lines import op7_fuzzy_lines
 from opsloom.llm.q_packing import op4_packing
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_secret_ledger,
         op10_chat_events,
+        op13_count_cells,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op10_chat_events": CHAT_SQL,
+    "op13_count_cells": DIVERGENCE_SQL,
 }
