@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.llm.q_chat import CHAT_SQL, op10_chat_events
+from opsloom.llm.q_codes import CODES_SQL, op12_grid_cells
 from opsloom.llm.q_decontamination import op8_decontamination
 from opsloom.llm.q_divergence import DIVERGENCE_SQL, op13_count_cells
 from opsloom.llm.q_hilbert import op3_hilbert
@@ -31,11 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_secret_ledger,
         op10_chat_events,
+        op12_grid_cells,
         op13_count_cells,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op10_chat_events": CHAT_SQL,
+    "op12_grid_cells": CODES_SQL,
     "op13_count_cells": DIVERGENCE_SQL,
 }
