@@ -11,6 +11,7 @@ from opsloom.llm.q_codes import CODES_SQL, op12_grid_cells
 from opsloom.llm.q_decontamination import op8_decontamination
 from opsloom.llm.q_divergence import DIVERGENCE_SQL, op13_count_cells
 from opsloom.llm.q_hilbert import op3_hilbert
+from opsloom.llm.q_language import op11_language_families
 from opsloom.llm.q_lines import op7_fuzzy_lines
 from opsloom.llm.q_packing import op4_packing
 from opsloom.llm.q_paragraphs import op5_paragraph_minhash
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_secret_ledger,
         op10_chat_events,
+        op11_language_families,
         op12_grid_cells,
         op13_count_cells,
     )
