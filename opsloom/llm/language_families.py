@@ -84,10 +84,12 @@ def machine(vectors, sides, epochs: int, cost: float):
     """
     import numpy as np
 
-    rows = np.hstack([vectors, np.ones((len(vectors), 1))])
+    rows = np.ones((len(vectors), len(vectors[0]) + 1), dtype=np.float32)
+    for i, v in enumerate(vectors):
+        rows[i, :-1] = v
     weight = {s: len(sides) / (2 * max(1, int((sides == s).sum()))) for s in (1, -1)}
     slack = np.array([1 / (2 * cost * weight[int(s)]) for s in sides])
-    norms = (rows * rows).sum(axis=1) + slack
+    norms = np.einsum("ij,ij->i", rows, rows) + slack
     alpha, w = np.zeros(len(rows)), np.zeros(rows.shape[1])
     order = np.random.default_rng(7)
     for _ in range(epochs):
@@ -229,7 +231,7 @@ def fit(labelled: DataFrame, limits: Limits | None = None) -> Discriminator | No
 
     def fitted(key, rows):
         rows = rows.sort_values(["side", "lang", "hash"])
-        vectors = np.stack([np.frombuffer(f, np.float32) for f in rows["features"]]).astype(float)
+        vectors = [np.frombuffer(f, np.float32) for f in rows["features"]]
         w = machine(vectors, rows["side"].to_numpy(dtype=float), limits.epochs, limits.cost)
         return pd.DataFrame({"machine": [key[0]], "weights": [w.tobytes()]})
 
