@@ -233,10 +233,21 @@ def case_spine(t: Tables, facts: DataFrame) -> DataFrame:
     return join_unique(cases, facts, "user_id")
 
 
-def support_case_context(t: Tables, as_of: dt.date | str, days: int = WINDOW_DAYS) -> DataFrame:
-    """Per case: user, message measures, first response from case creation, compensation, history."""
+def profile_facts(profile: DataFrame) -> DataFrame:
+    """user_facts from a stored user_support_profile of the same day and window."""
+    renamed = {"name": "user_name", "email": "user_email", "region": "user_region"}
+    renamed |= {"lifetime_spend_cents": "user_lifetime_spend_cents", "support_cases_90d": "user_cases_90d"}
+    return profile.select("user_id", *[F.col(c).alias(name) for c, name in renamed.items()])
+
+
+def support_case_context(t: Tables, as_of: dt.date | str, days: int = WINDOW_DAYS, profile: DataFrame | None = None) -> DataFrame:
+    """Per case: user, message measures, first response from case creation, compensation, history.
+
+    `profile` takes the stored profiles of the same day, so that the users' facts are not computed twice.
+    """
+    facts = user_facts(t, since_day(F.col("created_at"), as_of, days)) if profile is None else profile_facts(profile)
     out = left_join_all(
-        case_spine(t, user_facts(t, since_day(F.col("created_at"), as_of, days))),
+        case_spine(t, facts),
         [(case_measures(t), "case_id")],
         {"message_count": 0, "has_admin_reply": False},
     )

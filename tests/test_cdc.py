@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opsloom.operators import cdc
 from opsloom.schemas import struct
 from opsloom.sources.history import read_history_stream
+from opsloom.streaming import change_feed
 from opsloom.streaming import current_state as cs
 
 SCHEMA = struct("id:int v:text _change_type:text _lsn:long _xid:long _timestamp:ntz")
@@ -125,6 +126,25 @@ def test_late_row_after_delete_stays_deleted_across_batches_and_compaction(spark
     assert push(change(1, "again", "insert", 10)) == [(1, "again"), (2, "c")]
 
 
+def test_log_stays_bounded_and_replays_are_safe(spark, tmp_path):
+    history = random_history(8, n=80)
+    bronze, path = f"{tmp_path}/bronze", f"{tmp_path}/t"
+    for i in range(20):
+        spark.createDataFrame(history[i::20], SCHEMA).coalesce(1).write.mode("append").parquet(bronze)
+    stream = read_history_stream(spark, bronze, SCHEMA, files_per_batch=1)
+    cs.start_current_state(stream, FLOW, path, fold_every=4, age=dt.timedelta(0)).awaitTermination()
+    assert state(cs.read_current_state(spark, path, FLOW, SCHEMA)) == expected(history)
+    batches = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "t/changes").glob("batch_id=*"))
+    assert batches == list(range(12, 20))  # those after the base before the last, which reaches 11
+    assert len(list((tmp_path / "t/base/data").iterdir())) == 2 and len(list((tmp_path / "t/base/log").glob("*.json"))) == 2
+    for _ in range(2):  # the last batch once more, as after a failure before its commit
+        cs.compact(spark, path, FLOW, SCHEMA, 15, dt.timedelta(0))
+        FLOW.winners(spark.read.schema(SCHEMA).parquet(f"{path}/changes/batch_id=19")).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/again")
+    assert state(cs.read_current_state(spark, path, FLOW, SCHEMA)) == expected(history)
+    cs.compact(spark, path, FLOW, SCHEMA, 19)
+    assert state(cs.read_current_state(spark, path, FLOW, SCHEMA)) == expected(history)
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     batch = spark.createDataFrame(CASES, SCHEMA)
     for _ in range(2):
@@ -173,6 +193,41 @@ def test_intervals_with_and_without_hot_keys(spark):
         assert found == intervals(history)
 
 
+def test_change_feed_has_the_images_of_each_batch(spark, tmp_path):
+    """Against the state after each batch, batch by batch."""
+    schema = struct("id:long v:text amount:long key:id at:ts _change_type:text _lsn:long _xid:long _timestamp:ts")
+    rng, big = random.Random(4), 2**60 + 1
+    at = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    rows = [
+        (rng.randint(1, 5), rng.choice(["a", "b", None]), rng.choice([big, None]), bytes([7, i % 3]), at, rng.choice(["insert", "update", "update", "delete"]), lsn, None if i % 9 == 0 else i, at)
+        for i, lsn in enumerate(rng.sample(range(2**60, 2**60 + 500), 40))
+    ]
+    rows.append(rows[3])
+    flow = cdc.Flow("t")
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bronze")
+    stream = read_history_stream(spark, f"{tmp_path}/bronze", schema, files_per_batch=1)
+    change_feed.start_change_feed(stream, flow, f"{tmp_path}/feed").awaitTermination()
+    feed = spark.read.parquet(f"{tmp_path}/feed/changes")
+    assert [f for f in feed.schema.fields if f.name != "batch_id"] == change_feed.feed_schema(schema, flow).fields
+    files = sorted((tmp_path / "bronze").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    before, seen = {}, []
+    for batch, file in enumerate(files):
+        seen += [tuple(r) for r in spark.read.schema(schema).parquet(str(file)).collect()]
+        after = {r["id"]: tuple(r) for r in flow.current(spark.createDataFrame(seen, schema)).collect()}
+        want = {k: (before.get(k), after.get(k)) for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+        got = {}
+        for r in feed.where(F.col("batch_id") == batch).collect():
+            images = tuple((r["id"], *r[name]) if r[name] else None for name in change_feed.IMAGES)
+            got[r["id"]] = images
+            assert r["_change_type"] == ("insert" if images[0] is None else "delete" if images[1] is None else "update")
+        assert got == want
+        before = after
+    empty = spark.createDataFrame([], flow.current(spark.createDataFrame(seen, schema)).schema)
+    applied = change_feed.apply_feed(empty, feed.drop("batch_id"), flow)
+    assert {r["id"]: tuple(r) for r in applied.collect()} == before
+
+
 def test_equal_positions_are_decided_by_the_transaction(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [(1, "a", "insert", 5, 1, at), (1, "b", "update", 5, 2, at), (2, "x", "update", 7, 9, at), (2, "y", "insert", 7, 3, at)]
