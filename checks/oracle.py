@@ -24,27 +24,30 @@ s_users AS (
   FROM part
 ), s_refunds AS (
   SELECT o_custkey AS user_id, l_orderkey AS order_id,
-         CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey % 20 END AS support_case_id,
+         CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey // 150 END AS support_case_id,
          CAST(round(l_extendedprice * l_discount * 100) AS BIGINT) AS amount_in_cents,
-         CASE l_linestatus WHEN 'F' THEN 'approved' ELSE 'pending' END AS status, l_shipdate AS created_at
+         CASE l_linestatus WHEN 'F' THEN 'approved' ELSE 'pending' END AS status, l_shipdate AS created_at,
+         l_orderkey * 10 + l_linenumber AS id, 'returned by ' || l_suppkey AS reason, l_shipdate + to_days(l_linenumber) AS updated_at
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
 ), s_credits AS (
-  SELECT o_custkey AS user_id, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey % 20 END AS support_case_id,
-         CAST(round(l_extendedprice * l_tax * 100) AS BIGINT) AS amount_in_cents, l_shipdate AS created_at
+  SELECT o_custkey AS user_id, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey // 150 END AS support_case_id,
+         CAST(round(l_extendedprice * l_tax * 100) AS BIGINT) AS amount_in_cents, l_shipdate AS created_at,
+         l_orderkey * 10 + l_linenumber AS id, 'goodwill for ' || l_partkey AS reason
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'A'
 ), s_cases AS (
-  SELECT DISTINCT conv_id AS id, conv_id % 150 AS user_id, 'case ' || conv_id AS subject,
+  SELECT DISTINCT conv_id AS id, (conv_id - conv_id % 3) * 7 AS user_id, 'case ' || conv_id AS subject,
          CASE conv_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'resolved' ELSE 'closed' END AS status,
          TIMESTAMP '2001-04-20 00:00:00' + to_days(CAST(conv_id % 100 AS INTEGER)) AS created_at,
          TIMESTAMP '2001-04-20 00:00:00' + to_days(CAST(conv_id % 100 AS INTEGER)) + to_hours(conv_id % 60) AS updated_at
   FROM conversations
 ), s_messages AS (
   SELECT conv_id * 100 + turn AS id, conv_id AS case_id,
-         CASE role WHEN 'user' THEN conv_id % 150 END AS user_id, CASE role WHEN 'assistant' THEN conv_id % 3 END AS admin_id,
+         CASE role WHEN 'user' THEN (conv_id - conv_id % 3) * 7 END AS user_id,
+         CASE WHEN role IS DISTINCT FROM 'user' THEN conv_id % 3 END AS admin_id,
          text AS content,
          TIMESTAMP '2001-04-20 00:00:00' + to_days(CAST(conv_id % 100 AS INTEGER)) + to_minutes(turn * 7 + 3)
            + to_seconds(conv_id % 60) AS created_at
-  FROM conversations WHERE role IN ('user', 'assistant')
+  FROM conversations
 ), s_drafts AS (
   SELECT id AS message_id, case_id, user_id, 'summary ' || id AS case_summary, 'reply ' || id AS suggested_response,
          CASE id % 5 WHEN 0 THEN 'refund' WHEN 1 THEN 'credit' WHEN 2 THEN 'no_action' WHEN 3 THEN 'escalate' ELSE 'resolve' END
@@ -57,7 +60,8 @@ s_users AS (
          CAST(count(*) AS INTEGER) AS uses
   FROM part GROUP BY p_brand
 ), s_promotions AS (
-  SELECT id, code, name, '{{"type":"percentage_off","percent":' || n || '}}' AS discount_strategy,
+  SELECT id, code, name, 'All of ' || name AS description, CASE WHEN n % 2 = 0 THEN 'size ' || n END AS category,
+         '{{"type":"percentage_off","percent":' || n || '}}' AS discount_strategy,
          CASE n % 10 WHEN 1 THEN 'AFRICA' WHEN 2 THEN 'AMERICA' WHEN 3 THEN 'ASIA' WHEN 4 THEN 'EUROPE'
            WHEN 5 THEN 'MIDDLE EAST' WHEN 6 THEN 'us_east' WHEN 7 THEN 'us_central' WHEN 8 THEN 'us_west'
            WHEN 9 THEN 'eu_west' END AS region,
@@ -319,6 +323,12 @@ QUARANTINE = _with(
 FROM replies WHERE kind IN (6, 7, 8, 9, 11)""",
 )
 
+PUBLISHED = _with(
+    REPLY_CTE,
+    """SELECT * FROM s_drafts UNION ALL BY NAME
+SELECT * FROM parsed p WHERE NOT EXISTS (SELECT 1 FROM s_drafts d WHERE d.message_id = p.message_id)""",
+)
+
 POLICY = _with(
     f"""{UNANSWERED_CTE}, context AS ({CONTEXT_SELECT}), facts AS (
   SELECT w.message_id, w.case_id, w.user_id, w.status, coalesce(o.total_in_cents, 0) AS order_cents,
@@ -415,6 +425,9 @@ ORACLE: dict[str, str] = {
     "user_support_profile": PROFILE,
     "snapshot_sync_check": PROFILE,
     "support_case_context": _q(CONTEXT_SELECT),
+    **{f"support_overview_{kind}": _with(OVERVIEW_CTE, "SELECT * FROM overview") for kind in ("materialized", "snapshot")},
+    **{f"support_case_context_{kind}": _q(CONTEXT_SELECT) for kind in ("materialized", "snapshot")},
+    **{f"user_support_profile_{kind}": PROFILE for kind in ("materialized", "snapshot")},
     "cdc_current_state": CURRENT,
     "cdc_current_state_stream": CURRENT,
     "cdc_keyed_state_stream": CURRENT,
@@ -423,6 +436,7 @@ ORACLE: dict[str, str] = {
     "cdc_diff": DIFF,
     **SILVER,
     **{f"{name}_stream": sql for name, sql in SILVER.items()},
+    **{f"{name}_change_feed": SILVER[name] for name in ("silver_orders", "silver_support_cases")},
     "unanswered_messages": _with(UNANSWERED_CTE, "SELECT * FROM waiting"),
     "unanswered_messages_strict": STRICT,
     "case_prompts": _with(
@@ -446,10 +460,12 @@ FROM prompts WHERE length(prompt) % 7 = 0""",
     ),
     "agent_responses_validated": _with(REPLY_CTE, "SELECT * FROM parsed"),
     "agent_quarantine": QUARANTINE,
-    "agent_publish_insert_only": _with(
+    "agent_publish_insert_only": PUBLISHED,
+    "response_feed": PUBLISHED,
+    "agent_responses_typed": _with(
         REPLY_CTE,
-        """SELECT * FROM s_drafts UNION ALL BY NAME
-SELECT * FROM parsed p WHERE NOT EXISTS (SELECT 1 FROM s_drafts d WHERE d.message_id = p.message_id)""",
+        """SELECT * REPLACE (md5(CAST(message_id AS VARCHAR)) AS message_id, md5(CAST(case_id AS VARCHAR)) AS case_id,
+  CAST(user_id AS VARCHAR) AS user_id) FROM parsed""",
     ),
     "policy_suggestions": POLICY,
     "case_queue": _with(QUEUE_CTE, "SELECT * FROM queue"),
@@ -508,6 +524,11 @@ FROM ({METRICS_SELECT}) ORDER BY case_date DESC LIMIT 1""",
     "queue_search": _with(
         QUEUE_CTE,
         f"""SELECT * EXCLUDE (m), CASE WHEN status IN ('resolved', 'closed') THEN 'resolved' ELSE 'needs_attention' END AS section,
+  {AGE} AS age FROM (SELECT *, date_sub('minute', case_created_at, {NOW}) AS m FROM queue) WHERE subject LIKE '%case 1%'""",
+    ),
+    "queue_search_indexed": _with(
+        QUEUE_CTE,
+        f"""SELECT * EXCLUDE (m), CASE WHEN status IN ('resolved', 'closed') THEN 'resolved' ELSE 'needs_attention' END AS section,
   {AGE} AS age FROM (SELECT *, date_sub('minute', case_created_at, {NOW}) AS m FROM queue) WHERE subject LIKE '%case 1%'""",
     ),
     "queue_sections": _q(
@@ -517,8 +538,8 @@ FROM s_cases SEMI JOIN s_users u ON u.id = user_id GROUP BY ALL"""
     "response_time": RESPONSE,
     "case_activity": _q(
         """SELECT *, '$' || printf('%.2f', amount_in_cents / 100.0) || ' ' || kind AS label FROM (
-  SELECT support_case_id AS case_id, 'refund' AS kind, user_id, amount_in_cents, created_at, order_id, status FROM s_refunds
-  UNION ALL BY NAME SELECT support_case_id AS case_id, 'credit' AS kind, user_id, amount_in_cents, created_at FROM s_credits
+  SELECT support_case_id AS case_id, 'refund' AS kind, * EXCLUDE (support_case_id) FROM s_refunds
+  UNION ALL BY NAME SELECT support_case_id AS case_id, 'credit' AS kind, * EXCLUDE (support_case_id) FROM s_credits
 ) WHERE case_id IS NOT NULL"""
     ),
     "binary_key_join": _q(
@@ -562,6 +583,10 @@ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
         """SELECT u.id AS user_id, u.region, CAST(count(p.code) AS INTEGER) AS promo_count,
   coalesce(string_agg(p.code, ',' ORDER BY p.code), '') AS promo_codes
 FROM s_users u LEFT JOIN s_offers p ON p.region = u.region OR p.region IS NULL GROUP BY u.id, u.region"""
+    ),
+    "promotions_of_users": _q(
+        """SELECT u.id AS user_id, p.id, code, p.name, description, discount_strategy, p.region, category, starts_at, ends_at
+FROM s_users u JOIN s_offers p ON p.region = u.region OR p.region IS NULL"""
     ),
     "promo_check": _with(
         """entered AS (
@@ -577,6 +602,10 @@ FROM s_users u LEFT JOIN s_offers p ON p.region = u.region OR p.region IS NULL G
     "promo_region_multipliers": _with(MULTIPLIERS, "SELECT * FROM multipliers"),
     "promo_discounts": _q("SELECT code, 'percentage_off' AS type, CAST(split_part(code, '#', 2) AS DOUBLE) AS percent FROM s_promotions"),
     "stale_carts": _q(f"SELECT * FROM s_carts WHERE updated_at < {NOW} - to_minutes(120)"),
+    "stale_carts_kept": _q(f"SELECT * FROM s_carts WHERE updated_at >= {NOW} - to_minutes(120)"),
+    "checkout_cart_items_left": """SELECT l_orderkey AS cart_id, l_partkey AS menu_item_id, CAST(l_quantity AS INTEGER) AS quantity
+FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
+  WHERE p_size <= 40)""",
     "stale_cart_items_kept": """SELECT l_orderkey AS cart_id, l_partkey AS menu_item_id, CAST(l_quantity AS INTEGER) AS quantity
 FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 240 > 120)""",
     "auto_close": _q(

@@ -14,12 +14,13 @@ from opsloom.functions.jsons import parse_replies, with_json
 from opsloom.functions.times import ntz_literal
 from opsloom.operators import cdc
 from opsloom.operators.rows import split_valid
-from opsloom.plans import agent, commerce, console, gold
-from opsloom.schemas import BASE_RATES, DISCOUNT_STRATEGY, ORDER_STATUSES
+from opsloom.plans import agent, commerce, console, gold, jobs
+from opsloom.schemas import AGENT_RESPONSE_SCHEMA, BASE_RATES, DISCOUNT_STRATEGY, ORDER_STATUSES
 from opsloom.session import scratch_path, stored
-from opsloom.sources import store
+from opsloom.sources import feed, store
 from opsloom.sources.history import read_history_stream
 from opsloom.sources.tables import Tables
+from opsloom.streaming import change_feed
 from opsloom.streaming.current_state import compact, keyed_state, read_current_state, start_current_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,24 @@ def _current_stream(name: str) -> Query:
     return run
 
 
+def _change_feed(name: str) -> Query:
+    """The same batches as before and after images from streaming state, applied to an empty table."""
+    flow = cdc.build_flows(HISTORIES)[name]
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        history = sample_tables(spark, folder)[f"{name}_history"]
+        bronze, path = scratch_path(spark, f"{name}-bronze"), scratch_path(spark, f"{name}-feed")
+        third = F.pmod(F.xxhash64("_lsn", *flow.keys), F.lit(3))
+        for batch in range(3):
+            history.where(third == batch).write.mode("append").parquet(bronze)
+            change_feed.start_change_feed(read_history_stream(spark, bronze, history.schema), flow, path).awaitTermination()
+        feed = spark.read.schema(change_feed.feed_schema(history.schema, flow)).parquet(f"{path}/changes")
+        nothing = spark.createDataFrame([], history.drop(*flow.drop).schema)
+        return change_feed.apply_feed(nothing, feed, flow)
+
+    return run
+
+
 # --- agent -----------------------------------------------------------------------------------
 
 
@@ -167,6 +186,37 @@ def _publish(t: Tables) -> DataFrame:
     return out
 
 
+def _response_feed(t: Tables) -> DataFrame:
+    """Two appends, copied by a consumer whose second read is stopped after it wrote and then done again."""
+    spark, path, target = t.spark, scratch_path(t.spark, "responses"), scratch_path(t.spark, "console")
+    drafts, order = t["drafts"].select(*agent.RESPONSE_COLUMNS), ["generated_at", "message_id"]
+
+    def stopped(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/read_id={n}")
+        raise InterruptedError
+
+    store.insert_new(path, drafts, "message_id", order)
+    jobs.sync_responses(spark, path, drafts.schema, target)
+    store.insert_new(path, agent.accepted(_parsed(t)), "message_id", order)
+    try:
+        feed.consume(spark, path, "console", drafts.schema, stopped)
+    except InterruptedError:
+        jobs.sync_responses(spark, path, drafts.schema, target)
+    return spark.read.parquet(target).select(*drafts.columns)
+
+
+def _typed(t: Tables) -> DataFrame:
+    """Parsed replies in the response table's own types, with binary ids, and read back."""
+    ids = {c: F.unhex(F.md5(F.col(c).cast("string"))) for c in ("message_id", "case_id")}
+    typed = agent.accepted(_parsed(t)).withColumns(
+        {**ids, "user_id": F.col("user_id").cast("string"), "generated_at": F.col("generated_at").cast("timestamp")}
+    )
+    path = scratch_path(t.spark, "responses")
+    out = store.insert_new(path, typed, "message_id", ["generated_at", "message_id"], AGENT_RESPONSE_SCHEMA)
+    shown = {c: F.lower(F.hex(c)) for c in ids}
+    return out.withColumns({**shown, "generated_at": F.col("generated_at").cast("timestamp_ntz")})
+
+
 def _policy(t: Tables) -> DataFrame:
     """Compensation rules on all unanswered messages, with subjects and closing thanks varied."""
     subjects = F.array(*[F.lit(s.capitalize()) for s in SUBJECTS])
@@ -189,8 +239,9 @@ def _decisions(part: str) -> Query:
 
 def _decisions_after_history(t: Tables) -> DataFrame:
     """A second batch continues the numbering of the first."""
-    first = console.decisions_applied(t, t["decisions"].where(F.col("admin_action") != "credit"))["decisions"]
-    second = console.decisions_applied(t, t["decisions"].where(F.col("admin_action") == "credit"), first)["decisions"]
+    ids = scratch_path(t.spark, "decision-ids")
+    first = console.decisions_applied(t, t["decisions"].where(F.col("admin_action") != "credit"), ids)["decisions"]
+    second = console.decisions_applied(t, t["decisions"].where(F.col("admin_action") == "credit"), ids)["decisions"]
     return console.decision_history(first.unionByName(second))
 
 
@@ -224,9 +275,22 @@ def _search(t: Tables) -> DataFrame:
     return console.queue_search(console.case_queue(t, ordered=False), " CASE 1", AS_OF_TIME)
 
 
+def _indexed_search(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "queue-index")
+    console.write_queue_index(console.case_queue(t, ordered=False), path)
+    return console.search_index(t.spark, path, " CASE 1", AS_OF_TIME)
+
+
 # --- commerce --------------------------------------------------------------------------------
 
 
+def _checkout_items_left(t: Tables) -> DataFrame:
+    """Checkout with the available menu only: carts of nothing else keep their items."""
+    menu = commerce.available_menu(t)
+    return commerce.checkout(t.with_tables(menu_items=menu), ntz_literal(AS_OF_TIME))["cart_items"]
+
+
+
 def _local_time(t: Tables) -> DataFrame:
     """Orders by the local time of their users, whose zone follows the region."""
     region = F.col("region")
@@ -264,6 +328,31 @@ def _materialized(t: Tables) -> DataFrame:
     return store.read_materialized(t.spark, path)
 
 
+def _gold_set(name: str) -> Query:
+    """A table of the gold set, published together with the others."""
+
+    def run(t: Tables) -> DataFrame:
+        folder = scratch_path(t.spark, "gold")
+        jobs.refresh_gold(t, folder, AS_OF)
+        return store.read_set(t.spark, folder)[name]
+
+    return _over(run)
+
+
+def _console_snapshot(name: str) -> Query:
+    """A table of the console's snapshot set, keys checked."""
+
+    def run(t: Tables) -> DataFrame:
+        tables = {
+            "support_case_context": gold.support_case_context(t, AS_OF),
+            "user_support_profile": gold.user_support_profile(t, AS_OF),
+            "support_overview": gold.support_overview(t),
+        }
+        return jobs.sync_snapshots(tables, scratch_path(t.spark, "console"))[name]
+
+    return _over(run)
+
+
 def _key_violations(t: Tables) -> DataFrame:
     keys = t["deliveries"].select("id")
     return store.key_violations(keys, ["id"])
@@ -276,6 +365,8 @@ QUERIES: dict[str, Query] = {
     "support_overview": _over(gold.support_overview),
     "user_support_profile": _over(lambda t: gold.user_support_profile(t, AS_OF)),
     "support_case_context": _over(lambda t: gold.support_case_context(t, AS_OF)),
+    **{f"{name}_materialized": _gold_set(name) for name in jobs.SNAPSHOT_KEYS},
+    **{f"{name}_snapshot": _console_snapshot(name) for name in jobs.SNAPSHOT_KEYS},
     # change histories
     "cdc_current_state": _over(lambda t: EVENTS.current(t["event_history"])),
     "cdc_current_state_stream": _stream,
@@ -285,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "cdc_diff": _over(_diff),
     **{f"silver_{name}": _current(name) for name in HISTORIES},
     **{f"silver_{name}_stream": _current_stream(name) for name in HISTORIES},
+    **{f"silver_{name}_change_feed": _change_feed(name) for name in ("orders", "support_cases")},
     # agent
     "unanswered_messages": _over(agent.unanswered_messages),
     "unanswered_messages_strict": _over(lambda t: agent.unanswered_messages(t, strict=True)),
@@ -294,6 +386,8 @@ QUERIES: dict[str, Query] = {
     "agent_responses_validated": _over(lambda t: agent.accepted(_parsed(t))),
     "agent_quarantine": _over(lambda t: agent.quarantined(_parsed(t))),
     "agent_publish_insert_only": _over(_publish),
+    "response_feed": _over(_response_feed),
+    "agent_responses_typed": _over(_typed),
     "policy_suggestions": _over(_policy),
     # console
     "case_queue": _over(console.case_queue),
@@ -312,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "agent_performance": _over(console.agent_performance),
     "kpi_latest": _over(lambda t: console.kpi_latest(console.support_metrics(gold.support_overview(t)))),
     "queue_search": _over(_search),
+    "queue_search_indexed": _over(_indexed_search),
     "queue_sections": _over(lambda t: console.queue_sections(console.case_queue(t, ordered=False))),
     "response_time": _over(lambda t: console.response_times(t, AS_OF_TIME)),
     "case_activity": _over(console.case_activity),
@@ -325,14 +420,17 @@ QUERIES: dict[str, Query] = {
     "checkout_orders": _over(lambda t: commerce.checkout(t, ntz_literal(AS_OF_TIME))["orders"]),
     "checkout_order_items": _over(lambda t: commerce.checkout(t, ntz_literal(AS_OF_TIME))["order_items"]),
     "checkout_carts_left": _over(lambda t: commerce.checkout(t, ntz_literal(AS_OF_TIME))["carts"]),
+    "checkout_cart_items_left": _over(_checkout_items_left),
     "cart_line_merge": _over(lambda t: commerce.cart_line_merge(t["cart_adds"])),
     "delivery_board": _over(commerce.delivery_board),
     "available_menu": _over(commerce.available_menu),
     "promos_for_users": _over(lambda t: commerce.promos_for_users(t, AS_OF_TIME)),
+    "promotions_of_users": _over(lambda t: commerce.promotions_of_users(t, AS_OF_TIME)),
     "promo_check": _over(lambda t: commerce.promo_check(t, t["entered_codes"], AS_OF_TIME)),
     "promo_region_multipliers": _over(lambda t: commerce.promo_region_multipliers(t, AS_OF_TIME)),
     "promo_discounts": _over(_discounts),
     "stale_carts": _over(lambda t: commerce.stale_carts(t, AS_OF_TIME)),
+    "stale_carts_kept": _over(lambda t: commerce.drop_stale_carts(t, AS_OF_TIME)["carts"]),
     "stale_cart_items_kept": _over(lambda t: commerce.drop_stale_carts(t, AS_OF_TIME)["cart_items"]),
     "auto_close": _over(lambda t: commerce.auto_close(t, AS_OF_TIME)),
     "orders_by_local_time": _over(_local_time),

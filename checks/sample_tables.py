@@ -20,6 +20,20 @@ def _case_start(conv: Column) -> Column:
     return F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(days=(conv % 100).cast("int"))
 
 
+def _case_user(conv: Column) -> Column:
+    """Three cases a user; the users spread over the customers at every size."""
+    return (conv - conv % 3) * 7
+
+
+def _case_of(order_key: Column) -> Column:
+    """Orders of a case; at every size they reach all or the first half of the cases."""
+    return F.floor(order_key / 150)
+
+
+def _line_number() -> Column:
+    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
+
+
 # The files' schemas, so that opening a table runs no job.
 RAW = {
     "region": "r_regionkey int, r_name string",
@@ -88,19 +102,24 @@ class _Build:
         return self._compensation("R").select(
             F.col("o_custkey").alias("user_id"),
             key.alias("order_id"),
-            F.when(key % 3 == 0, key % 20).alias("support_case_id"),
+            F.when(key % 3 == 0, _case_of(key)).alias("support_case_id"),
             _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("amount_in_cents"),
             F.when(F.col("l_linestatus") == "F", "approved").otherwise("pending").alias("status"),
             F.col("l_shipdate").alias("created_at"),
+            _line_number().alias("id"),
+            F.concat(F.lit("returned by "), F.col("l_suppkey").cast("string")).alias("reason"),
+            (F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_linenumber"))).alias("updated_at"),
         )
 
     def credits(self) -> DataFrame:
         key = F.col("l_orderkey")
         return self._compensation("A").select(
             F.col("o_custkey").alias("user_id"),
-            F.when(key % 4 == 0, key % 20).alias("support_case_id"),
+            F.when(key % 4 == 0, _case_of(key)).alias("support_case_id"),
             _cents(F.col("l_extendedprice") * F.col("l_tax")).alias("amount_in_cents"),
             F.col("l_shipdate").alias("created_at"),
+            _line_number().alias("id"),
+            F.concat(F.lit("goodwill for "), F.col("l_partkey").cast("string")).alias("reason"),
         )
 
     def support_cases(self) -> DataFrame:
@@ -108,7 +127,7 @@ class _Build:
         step = conv % 4
         return self.raw("conversations").select("conv_id").distinct().select(
             conv.alias("id"),
-            (conv % 150).alias("user_id"),
+            _case_user(conv).alias("user_id"),
             F.concat(F.lit("case "), conv.cast("string")).alias("subject"),
             F.when(step == 0, "open").when(step == 1, "in_progress").when(step == 2, "resolved").otherwise("closed").alias("status"),
             _case_start(conv).alias("created_at"),
@@ -118,11 +137,13 @@ class _Build:
     def support_messages(self) -> DataFrame:
         conv, turn = F.col("conv_id"), F.col("turn")
         later = F.make_dt_interval(mins=(turn * 7 + 3).cast("int"), secs=(conv % 60).cast("decimal(18,6)"))
-        return self.raw("conversations").where(F.col("role").isin("user", "assistant")).select(
+        # who is not the customer speaks for the shop: replies and the turns of the system
+        customer = F.coalesce(F.col("role") == "user", F.lit(False))
+        return self.raw("conversations").select(
             (conv * 100 + turn).alias("id"),
             conv.alias("case_id"),
-            F.when(F.col("role") == "user", conv % 150).alias("user_id"),
-            F.when(F.col("role") == "assistant", conv % 3).alias("admin_id"),
+            F.when(customer, _case_user(conv)).alias("user_id"),
+            F.when(~customer, conv % 3).alias("admin_id"),
             F.col("text").alias("content"),
             (_case_start(conv) + later).alias("created_at"),
         )
@@ -197,6 +218,8 @@ class _Build:
             "id",
             F.upper("p_brand").alias("code"),
             F.col("p_brand").alias("name"),
+            F.concat(F.lit("All of "), "p_brand").alias("description"),
+            F.when(n % 2 == 0, F.concat(F.lit("size "), n.cast("string"))).alias("category"),
             F.concat(F.lit('{"type":"percentage_off","percent":'), n.cast("string"), F.lit("}")).alias("discount_strategy"),
             region.alias("region"),
             (n * 10 + 80).alias("traffic_multiplier"),

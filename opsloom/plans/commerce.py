@@ -119,23 +119,42 @@ def open_promotions(t: Tables, as_of: dt.datetime | str, strict_cap: bool = Fals
     return active_promotions(t, as_of).where(uncapped)
 
 
+PROMOTION_COLUMNS = ("id", "code", "name", "description", "discount_strategy", "region", "category", "starts_at", "ends_at")
+
+
+def _offers_by_region(t: Tables, promos: DataFrame) -> DataFrame:
+    """(user_region, promotion) rows: the region's own promotions, and those without a region once per region.
+
+    Users without a region have the empty one. The regions that users have are few, whatever the number of users.
+    """
+    regions = t["users"].select(F.coalesce("region", F.lit("")).alias("user_region")).distinct()
+    # a promotion without a region is looked up under null, and so is every region besides its own name
+    wanted = regions.select("user_region", F.explode(F.array("user_region", F.lit(None))).alias("_of"))
+    return wanted.join(promos, F.col("_of").eqNullSafe(F.col("region"))).drop("_of")
+
+
+def promotions_of_users(t: Tables, as_of: dt.datetime | str, strict_cap: bool = False) -> DataFrame:
+    """One row per user and open promotion of the user's region or of none, with all its columns."""
+    offers = _offers_by_region(t, open_promotions(t, as_of, strict_cap).select(*PROMOTION_COLUMNS))
+    users = t["users"].select(F.col("id").alias("user_id"), F.coalesce("region", F.lit("")).alias("user_region"))
+    return users.join(offers, "user_region").select("user_id", *PROMOTION_COLUMNS)
+
+
 def promos_for_users(t: Tables, as_of: dt.datetime | str, strict_cap: bool = False) -> DataFrame:
     """Open promotions per user: those of the user's region and those without a region.
 
     One row per user with the codes in order. The lists are built per region, not per user:
-    users are joined to their region's list by equality and the region-free list is one value,
-    so no user x promotion pairs arise. Every user appears, also with an empty list.
+    users are joined to their region's list by equality, so no user x promotion pairs arise. Every user appears, also with an empty list.
     """
-    promos = open_promotions(t, as_of, strict_cap)
-    codes = F.sort_array(F.collect_list("code"))
-    per_region = promos.where(F.col("region").isNotNull()).groupBy("region").agg(codes.alias("_own"))
-    everywhere = promos.where(F.col("region").isNull()).agg(codes.alias("_any")).scalar()
-    users = t["users"].select(F.col("id").alias("user_id"), F.coalesce("region", F.lit("")).alias("region"))
-    none = F.array().cast("array<string>")
-    listed = F.sort_array(F.concat(F.coalesce("_own", none), F.coalesce(everywhere, none)))
-    out = join_unique(users, per_region, "region", "left").withColumn("_codes", listed)
+    offers = _offers_by_region(t, open_promotions(t, as_of, strict_cap).select("code", "region"))
+    listed = offers.groupBy("user_region").agg(F.sort_array(F.collect_list("code")).alias("_codes"))
+    users = t["users"].select(F.col("id").alias("user_id"), F.coalesce("region", F.lit("")).alias("user_region"))
+    out = join_unique(users, listed, "user_region", "left").withColumn("_codes", F.coalesce("_codes", F.array().cast("array<string>")))
     return out.select(
-        "user_id", "region", F.size("_codes").alias("promo_count"), F.array_join("_codes", ",").alias("promo_codes")
+        "user_id",
+        F.col("user_region").alias("region"),
+        F.size("_codes").alias("promo_count"),
+        F.array_join("_codes", ",").alias("promo_codes"),
     )
 
 

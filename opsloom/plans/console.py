@@ -9,13 +9,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.functions.ids import id_text
+from opsloom.functions.ids import id_text, normalise_id
 from opsloom.functions.text import dollars, elapsed, matches_search, response_time, time_ago
 from opsloom.functions.times import ntz_literal, rounded_minutes, since_instant, whole_minutes, whole_seconds
-from opsloom.functions.values import in_domain, or_zero, role
+from opsloom.functions.values import clamp, in_domain, or_zero, role
 from opsloom.operators.ordered import dense_index
 from opsloom.operators.rows import (
     first_reply_after_last,
@@ -26,6 +26,8 @@ from opsloom.operators.rows import (
 )
 from opsloom.plans.gold import USER_COUNTERS, WINDOW_DAYS, case_measures, case_spine, user_facts, user_measures
 from opsloom.schemas import ACTIONS, CASE_STATUSES
+from opsloom.session import stored
+from opsloom.sources.commits import take_ids
 from opsloom.sources.tables import Tables
 
 CLOSED_SECTION = ("resolved", "closed")
@@ -155,11 +157,12 @@ def status_checks() -> dict[str, Column]:
     return {"status": in_domain(F.col("status"), CASE_STATUSES)}
 
 
-def decisions_applied(t: Tables, decisions: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:
+def decisions_applied(t: Tables, decisions: DataFrame, ids: str | None = None) -> dict[str, DataFrame]:
     """A batch of admin decisions turned into the rows to write.
 
     Input: case_id, admin_action, admin_amount_cents, admin_response, created_at. Output frames:
-    `decisions` (numbered after the stored history in order of created_at and case_id),
+    `decisions` (numbered in order of created_at and case_id: from 1, or with `ids`, a folder that holds the next free number, by
+    a block reserved there, which no other batch gets; no stored history is read),
     `messages`, `cases` (status transitions), `refunds` (never above the customer's newest
     order; none without an order), `credits` and `rejected`.
     """
@@ -170,8 +173,9 @@ def decisions_applied(t: Tables, decisions: DataFrame, history: DataFrame | None
     admin = t["admins"].agg(F.min("id").alias("admin_id")).where(F.col("admin_id").isNotNull())
 
     start = 1
-    if history is not None:
-        start = (history.agg(F.max("id")).first()[0] or 0) + 1
+    if ids is not None:
+        known = stored(known, "decisions")
+        start = take_ids(t.spark, ids, known.count())
     # created_at alone may repeat; the other columns make the order of numbering total
     order = ["created_at", "case_id", "admin_action", "admin_amount_cents", "admin_response"]
     numbered = dense_index(known, order, "decision_id", start)
@@ -196,7 +200,7 @@ def decisions_applied(t: Tables, decisions: DataFrame, history: DataFrame | None
         "user_id",
         "order_id",
         F.col("case_id").alias("support_case_id"),
-        F.least(F.col("admin_amount_cents").cast("bigint"), F.col("total_in_cents").cast("bigint")).alias("amount_in_cents"),
+        clamp(F.col("admin_amount_cents").cast("bigint"), F.lit(0), F.col("total_in_cents").cast("bigint")).alias("amount_in_cents"),
         F.col("admin_response").alias("reason"),
         F.lit("pending").alias("status"),
         "created_at",
@@ -274,6 +278,10 @@ def kpi_latest(metrics: DataFrame) -> DataFrame:
 # --- queue search, response times, activity --------------------------------------------------
 
 
+#: Text columns that a search looks into, besides the ids.
+SEARCHED = ("subject", "user_name", "user_email", "suggested_action")
+
+
 def section(status: Column) -> Column:
     return F.when(status.isin(*CLOSED_SECTION), "resolved").otherwise("needs_attention")
 
@@ -281,13 +289,67 @@ def section(status: Column) -> Column:
 def queue_search(queue: DataFrame, query: str = "", as_of: dt.datetime | str | None = None) -> DataFrame:
     """Queue rows that match the query, with their section and, given as_of, their age text."""
     ids = [id_text(queue, "case_id"), id_text(queue, "user_id")]
-    texts = [F.col(c) for c in ("subject", "user_name", "user_email", "suggested_action")]
+    texts = [F.col(c) for c in SEARCHED]
     out = queue.where(matches_search(query, ids, texts)).withColumn("section", section(F.col("status")))
     if as_of is not None:
         out = out.withColumn("age", time_ago(whole_minutes(F.col("case_created_at"), ntz_literal(as_of))))
     return out
 
 
+# --- posting lists ---------------------------------------------------------------------------
+
+GRAM = 3
+#: Folders that the queue and its postings are written to; a search reads those it needs.
+BLOCKS = 256
+
+
+def _grams(text: Column) -> Column:
+    """The distinct three-character pieces of a text in lower case; none of a shorter text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM)))
+    return F.when(F.length(low) < GRAM, F.array().cast("array<string>")).otherwise(F.array_distinct(pieces))
+
+
+def write_queue_index(queue: DataFrame, path: str) -> None:
+    """Store a queue (one row per case) in blocks of cases, and for each gram of its searched texts the cases that hold it.
+
+    Postings are (gram, block, case) rows, not lists, so a gram that most cases hold is many rows like any other data.
+    """
+    searched = [id_text(queue, "case_id"), id_text(queue, "user_id"), *[F.col(c) for c in SEARCHED]]
+    block = F.pmod(F.xxhash64("case_id"), F.lit(BLOCKS)).cast("int")
+    blocked = stored(queue.withColumn("block", block), "queue")
+    blocked.repartitionByRange("block", "case_id").write.mode("overwrite").partitionBy("block").parquet(f"{path}/queue")
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(c) for c in searched])))
+    postings = blocked.select(F.explode(grams).alias("gram"), F.col("block").alias("case_block"), "case_id")
+    postings = postings.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(BLOCKS)).cast("int"))
+    postings.repartitionByRange("block", "gram", "case_block", "case_id").write.mode("overwrite").partitionBy("block").parquet(f"{path}/grams")
+
+
+def search_index(spark: SparkSession, path: str, query: str = "", as_of: dt.datetime | str | None = None) -> DataFrame:
+    """The rows of queue_search, read from the blocks that hold candidates.
+
+    Candidates are the cases that hold every gram of the query, or of the id it may be; they are verified by the search itself. A query
+    shorter than a gram has no candidates to look up and reads the whole queue.
+    """
+    queue = spark.read.parquet(f"{path}/queue").drop("block")
+    wanted = F.trim(F.lit(query))
+    texts = spark.range(1).select(_grams(wanted).alias("text"), _grams(normalise_id(F.lit(query))).alias("id")).first()
+    if not texts["text"]:
+        return queue_search(queue, query, as_of)
+    postings = spark.read.parquet(f"{path}/grams")
+    found = None
+    for grams in {tuple(texts["text"]), tuple(texts["id"])} - {()}:
+        blocks = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(BLOCKS)).cast("int")).distinct().collect()]
+        held = postings.where(F.col("block").isin(blocks) & F.col("gram").isin(list(grams)))
+        cases = held.groupBy("case_block", "case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams))
+        cases = cases.select("case_block", "case_id")
+        found = cases if found is None else found.union(cases).distinct()
+    found = stored(found, "candidates")
+    blocks = [r[0] for r in found.select("case_block").distinct().collect()]  # BLOCKS at most
+    rows = spark.read.parquet(f"{path}/queue").where(F.col("block").isin(blocks)).drop("block")
+    return queue_search(rows.join(found.select("case_id"), "case_id", "left_semi").select(*queue.columns), query, as_of)
+
+
 def queue_sections(queue: DataFrame, query: str = "") -> DataFrame:
     """Number of matching cases per section."""
     return queue_search(queue, query).groupBy("section").agg(F.count(F.lit(1)).alias("cases"))
@@ -313,14 +375,16 @@ def response_times(t: Tables, as_of: dt.datetime | str) -> DataFrame:
     )
 
 
-def case_activity(t: Tables, fields: Sequence[str] = ("user_id", "amount_in_cents", "created_at")) -> DataFrame:
-    """Refunds and credits linked to cases as one feed."""
+def case_activity(
+    t: Tables, fields: Sequence[str] = ("id", "user_id", "amount_in_cents", "reason", "created_at")
+) -> DataFrame:
+    """Refunds and credits linked to cases as one feed, with all their columns."""
 
     def part(table: str, kind: str, *extra: str) -> DataFrame:
         rows = t[table].where(F.col("support_case_id").isNotNull())
         return rows.select(F.col("support_case_id").alias("case_id"), F.lit(kind).alias("kind"), *fields, *extra)
 
-    feed = part("refunds", "refund", "order_id", "status").unionByName(part("credits", "credit"), allowMissingColumns=True)
+    feed = part("refunds", "refund", "order_id", "status", "updated_at").unionByName(part("credits", "credit"), allowMissingColumns=True)
     return feed.withColumn("label", F.concat(dollars(F.col("amount_in_cents")), F.lit(" "), F.col("kind")))
 
 

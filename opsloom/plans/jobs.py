@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from opsloom.plans import agent, gold
 from opsloom.sources import feed, store
+from opsloom.sources.commits import remove
 from opsloom.sources.tables import Tables
 
 RESPONSE_ORDER = ("generated_at", "message_id")
@@ -90,14 +91,18 @@ def run_agent(
     """One agent batch: answer what is unanswered, append new responses, keep the rejects.
 
     `schema` is the response table's schema. Running the batch again without new messages adds
-    nothing, since answered messages are no longer selected and stored ones are not inserted twice.
+    nothing, since answered messages are no longer selected and stored ones are not inserted twice. A batch after one that
+    failed takes up the replies that it had; they go when the batch is stored, since rejected messages are asked for again.
     """
     path = f"{folder}/agent_responses"
     drafts = feed.read_batches(t.spark, path, schema)
-    parsed = agent.agent_run(t.with_tables(drafts=drafts), responder, model, as_of, generated_at)
+    ledger = f"{folder}/reply_ledger"
+    parsed = agent.agent_run(t.with_tables(drafts=drafts), responder, model, as_of, generated_at, ledger=ledger)
     # a rejected message stays unanswered and is tried again by later batches; every failure is kept
     agent.quarantined(parsed).write.mode("append").parquet(f"{folder}/agent_quarantine")
-    return store.insert_new(path, agent.accepted(parsed), "message_id", RESPONSE_ORDER, schema)
+    out = store.insert_new(path, agent.accepted(parsed), "message_id", RESPONSE_ORDER, schema)
+    remove(t.spark, ledger)
+    return out
 
 
 def open_quarantine(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:

@@ -1,7 +1,7 @@
 """Numbered commits: small JSON files below a folder, each created once.
 
-A commit is written beside its place and then moved there without overwriting, so of several writers one gets a number and the
-others see that it is taken. This needs a file system whose move is atomic, as HDFS's and a shared POSIX folder's.
+A commit is written beside its place and then moved there (linked, in a POSIX folder) without overwriting, so of several writers
+one gets a number and the others see that it is taken. This needs a file system whose move is atomic, as HDFS's.
 """
 
 from __future__ import annotations
@@ -42,19 +42,28 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     if fs.exists(where):
         return False
     jvm = spark._jvm
-    beside = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}.{uuid.uuid4().hex}")
+    fs.mkdirs(where.getParent())
+    # where the folder really is, whatever view of it the path names
+    folder = fs.resolvePath(where.getParent())
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    where, beside = (jvm.org.apache.hadoop.fs.Path(folder, name) for name in (where.getName(), f".{where.getName()}.{uuid.uuid4().hex}"))
     out = fs.create(beside, False)
     out.write(bytearray(text.encode()))
     out.close()
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
-    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     try:
-        files.rename(beside, where, no_options)
+        if fs.getUri().getScheme() == "file":
+            # a move on a POSIX folder would replace the file; a link does not
+            paths = jvm.java.nio.file.Paths
+            jvm.java.nio.file.Files.createLink(paths.get(where.toUri()), paths.get(beside.toUri()))
+        else:
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+            files.rename(beside, where, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
     except Py4JJavaError as error:
-        fs.delete(beside, False)
-        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+        if not error.java_exception.getClass().getSimpleName().startswith("FileAlreadyExists"):
             raise
         return False
+    finally:
+        fs.delete(beside, False)
     return True
 
 
@@ -88,7 +97,9 @@ class CommitLog:
         return (numbers[-1], self.read(numbers[-1])) if numbers else (0, {})
 
     def append(self, content: dict, number: int) -> bool:
-        """Take this number; False if another writer has it."""
+        """Take this number; False if another writer has it, or has had it and it is forgotten by now."""
+        if (self.numbers() or [0])[-1] >= number:
+            return False
         return create_once(self.spark, self._file(number), json.dumps(content))
 
     def add(self, content: dict) -> int:

@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from opsloom import schemas
@@ -224,6 +226,34 @@ def test_a_failing_prompt_does_not_spoil_others(spark):
     assert [(r["reject_reason"], r["responder_error"]) for r in listed] == [("responder error", "ValueError: no")]
 
 
+def test_a_run_that_stops_halfway_asks_for_each_message_once(spark, tmp_path):
+    """The task is killed while it asks for the last message; the job is run again."""
+    cases = [case(n, "u1", "2024-05-01 00:00:00") for n in range(1, 9)]
+    t = tables(spark, users=[user(1)], support_cases=cases, support_messages=[message(n, n, "2024-05-01 10:00:00") for n in range(1, 9)])
+    prompts = stored(agent.case_prompts(t, stored(agent.unanswered_messages(t), "p"), AS_OF), "prompts").coalesce(1)
+    calls, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
+
+    def responder(stop_at):
+        def reply(instructions, pieces):
+            with open(calls, "a+") as log:
+                log.seek(0)
+                if len(log.readlines()) == stop_at:
+                    raise SystemExit  # not an error of the message: the worker ends
+                log.write(next(pieces).split("\n")[0] + "\n")
+            return agent.Reply("{}", "told")
+
+        return reply
+
+    with pytest.raises(Exception):
+        agent.respond(prompts, responder(3), "m", ledger=ledger).collect()
+    assert len(open(calls).readlines()) == 3
+    got = rows(agent.respond(prompts, responder(None), "m", ledger=ledger))
+    assert len(got) == 8 and {(r["raw_reply"], r["model"], r["responder_error"]) for r in got} == {("{}", "told", None)}
+    assert len(open(calls).readlines()) == 8
+    rows(agent.respond(prompts, responder(None), "m", ledger=ledger))
+    assert len(open(calls).readlines()) == 8
+
+
 def test_agent_job_is_idempotent(spark, tmp_path):
     t = jobs.refresh_gold(desk(spark), str(tmp_path / "gold"), AS_OF)
 

@@ -97,6 +97,11 @@ def test_promos(spark):
     assert {r["user_id"]: r["promo_codes"] for r in rows(commerce.promos_for_users(t, NOW))} == {
         "u1": "ALL,EAST,EAST2,LAST", "u2": "ALL,LAST", "u3": "ALL,LAST",
     }
+    listed = rows(commerce.promotions_of_users(t, NOW))
+    assert sorted((r["user_id"], r["code"]) for r in listed) == [
+        ("u1", "ALL"), ("u1", "EAST"), ("u1", "EAST2"), ("u1", "LAST"), ("u2", "ALL"), ("u2", "LAST"), ("u3", "ALL"), ("u3", "LAST"),
+    ]
+    assert all(set(r) == {"user_id", *commerce.PROMOTION_COLUMNS} for r in listed)
     strict = {r["user_id"]: r["promo_codes"] for r in rows(commerce.promos_for_users(t, NOW, strict_cap=True))}
     assert strict["u1"] == "ALL,EAST,LAST"
     entered = spark.createDataFrame([("u1", "east"), ("u2", "East"), ("u2", "full"), ("u1", "none"), ("u3", "all")], "user_id string, code string")

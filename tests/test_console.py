@@ -1,11 +1,14 @@
 """Queue, threads, decisions, search and response times on hand-made rows."""
 
 import base64
+import random
+import re
 import uuid
 
 from opsloom import schemas
 from opsloom.operators.rows import split_valid
 from opsloom.plans import console
+from opsloom.session import stored
 from tests.helpers import at, case, frame, key, message, one, order, rows, tables, user
 from tests.test_agent import draft
 
@@ -71,16 +74,44 @@ def test_search(spark):
     assert aged == {1: "2d ago", 2: "1d ago", 3: "45m ago"}
 
 
+WORDS = ("late", "Cold food", "missing", "ÉTÉ", "x", "a b", "refund 50%", "o'neil", "_", "latté")
+
+
+def test_indexed_search_finds_what_the_search_finds(spark, tmp_path):
+    rng = random.Random(6)
+    people = [{**user(n), "name": rng.choice(WORDS) + str(n)} for n in range(12)]
+    cases = [case(n, f"u{rng.randrange(12)}", "2024-05-01 10:00:00", subject=" ".join(rng.choices(WORDS, k=3))) for n in range(1, 80)]
+    queue = stored(console.case_queue(tables(spark, users=people, support_cases=cases), ordered=False), "queue")
+    path = str(tmp_path)
+    console.write_queue_index(queue, path)
+    for query in ("LATE c", "été", "x", " 50%", "o'neil late", key(7).hex(), "nothing"):
+        want = rows(console.queue_search(queue, query, "2024-05-03 10:45:00"))
+        got = rows(console.search_index(spark, path, query, "2024-05-03 10:45:00"))
+        assert sorted(got, key=repr) == sorted(want, key=repr), query
+    plan = console.search_index(spark, path, key(7).hex())._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[block#\d+ (=|IN)", plan) or "PartitionFilters: [isnotnull(block" in plan
+
+
+def test_batches_of_decisions_never_share_an_id(spark, tmp_path):
+    ids = str(tmp_path / "ids")
+    batch = [decision(n, "credit", 5, f"2024-05-05 1{n}:00:00") for n in (1, 2, 3)]
+    first, second = apply(spark, batch, ids), apply(spark, batch[:2], ids)  # both from the same state
+    found = sorted(r["id"] for out in (first, second) for r in rows(out["decisions"]))
+    assert found == [1, 2, 3, 4, 5]
+    again = apply(spark, [], ids)
+    assert rows(again["decisions"]) == []
+
+
 def decision(n, action, cents, when, text="done"):
     return {"id": 0, "case_id": key(n), "admin_action": action, "admin_amount_cents": cents, "admin_response": text, "created_at": at(when)}
 
 
-def apply(spark, decisions, history=None, **kw):
+def apply(spark, decisions, ids=None, **kw):
     t = desk(spark, orders=[order(1, "u1", 1000, "2024-04-01 00:00:00"), order(2, "u1", 400, "2024-04-02 00:00:00")], **kw)
-    return console.decisions_applied(t, frame(spark, schemas.ADMIN_DECISIONS, decisions).drop("id"), history)
+    return console.decisions_applied(t, frame(spark, schemas.ADMIN_DECISIONS, decisions).drop("id"), ids)
 
 
-def test_decisions(spark):
+def test_decisions(spark, tmp_path):
     out = apply(
         spark,
         [
@@ -95,6 +126,7 @@ def test_decisions(spark):
             decision(3, "credit", 1, "2024-05-05 18:00:00", text=""),
             decision(99, "credit", 1, "2024-05-05 19:00:00"),
         ],
+        str(tmp_path),
     )
     assert [(r["id"], r["admin_action"]) for r in sorted(rows(out["decisions"]), key=lambda r: r["id"])] == [
         (1, "refund"), (2, "no_action"), (3, "refund"), (4, "credit"), (5, "resolve"), (6, "credit"),
@@ -107,7 +139,7 @@ def test_decisions(spark):
     messages = rows(out["messages"])
     assert len(messages) == 6 and all(r["admin_id"] == key(1) for r in messages)
     assert sorted(r["reject_reason"] for r in rows(out["rejected"])) == ["admin_action", "admin_amount_cents", "admin_response", "unknown case"]
-    again = apply(spark, [decision(1, "escalate", 0, "2024-05-06 10:00:00")], out["decisions"])
+    again = apply(spark, [decision(1, "escalate", 0, "2024-05-06 10:00:00")], str(tmp_path))
     assert one(again["decisions"])["id"] == 7
     newest_first = rows(console.decision_history(out["decisions"]))
     assert [r["id"] for r in newest_first] == [2, 1, 3, 6, 5, 4]

@@ -43,11 +43,17 @@ def test_from_changes_to_console(spark, tmp_path):
     gold = jobs.refresh_gold(silver, f"{tmp_path}/gold", AS_OF)
     assert gold["user_support_profile"].count() == 2
 
-    def reply(prompts):
-        return ['{"case_summary":"sum","suggested_action":"credit","suggested_amount_cents":50}' if "Subject" in p else "x" for p in prompts]
+    def reply(instructions, pieces):
+        prompt = "\n".join(pieces)
+        return '{"case_summary":"sum","suggested_action":"credit","suggested_amount_cents":50}' if "Subject" in prompt else "x"
 
     now = F.lit(dt.datetime(2024, 6, 1, 12)).cast("timestamp")
     drafts = jobs.run_agent(gold, reply, "m", AS_OF, now, str(tmp_path), schemas.AGENT_RESPONSE_SCHEMA)
+    assert spark.read.parquet(f"{tmp_path}/agent_quarantine").count() == 0 and not (tmp_path / "reply_ledger").exists()
+    copied = jobs.sync_responses(spark, f"{tmp_path}/agent_responses", schemas.AGENT_RESPONSE_SCHEMA, f"{tmp_path}/console")
+    assert copied == 1 and spark.read.parquet(f"{tmp_path}/console").count() == drafts.count() > 0
+    snapshots = jobs.sync_snapshots({name: gold[name] for name in jobs.SNAPSHOT_KEYS}, f"{tmp_path}/snapshots")
+    assert {n: df.count() for n, df in snapshots.items()} == {n: gold[n].count() for n in jobs.SNAPSHOT_KEYS}
     queue = {bytes(r["case_id"]): r for r in rows(console.case_queue(silver.with_tables(drafts=drafts)))}
     assert (queue[key(1)]["suggested_action"], queue[key(1)]["case_summary"]) == ("credit", "sum")
     assert queue[key(3)]["suggested_action"] is None

@@ -66,18 +66,20 @@ def test_a_commit_number_is_taken_once(spark, tmp_path):
     log = CommitLog(spark, str(tmp_path / "log"))
     with ThreadPoolExecutor(8) as pool:
         won = list(pool.map(lambda i: log.append({"by": i}, 1), range(8)))
-        numbers = list(pool.map(lambda i: log.add({"by": i}), range(8)))
+        numbers = list(pool.map(lambda i: log.add({"by": i}), range(60)))
     assert won.count(True) == 1 and log.read(1)["by"] == won.index(True)
-    assert sorted(numbers) == list(range(2, 10)) and log.numbers() == list(range(1, 10))
-    log.forget(range(1, 20))
-    assert log.numbers() == [9]
+    assert sorted(numbers) == list(range(2, 62)) and log.numbers() == list(range(1, 62))
+    log.forget(range(1, 70))
+    assert log.numbers() == [61]
+    assert not log.append({}, 7)
+    assert [p.name for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")] == ["000000000061.json"]
 
 
 def test_id_blocks_never_overlap(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
-        firsts = list(pool.map(lambda n: (take_ids(spark, str(tmp_path), n), n), [3, 5, 1, 10, 2, 7] * 3))
+        firsts = list(pool.map(lambda n: (take_ids(spark, str(tmp_path), n), n), [3, 5, 1, 10, 2, 7] * 6))
     taken = [i for first, n in firsts for i in range(first, first + n)]
-    assert sorted(taken) == list(range(1, 85))
+    assert sorted(taken) == list(range(1, 169))
 
 
 def test_interleaved_writers_insert_each_key_once(spark, tmp_path, monkeypatch):
