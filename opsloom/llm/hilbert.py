@@ -13,18 +13,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsloom.operators.ordered import range_chunks
 from opsloom.session import stored
 
 #: The sort key's runs that are numbered one by one; their table of counts is the only thing that one task holds.
 RUNS = 512
 
 
-def text_rank(column: Column) -> Column:
-    """A number in the order of the strings' first seven UTF-8 bytes; null: null."""
-    head = F.substring(F.rpad(F.hex(F.encode(column, "UTF-8")), 14, "0"), 1, 14)
-    return F.conv(head, 16, 10).cast("bigint")
-
-
 def _tables(dims: int) -> tuple[list[int], list[int], list[int]]:
     """For each Gray code its rank; for each rank the entry corner and the direction of its cell.
 
@@ -55,9 +50,7 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
             out = F.when(by == k, (F.shiftleft(x, a).bitwiseOR(F.shiftright(x, b))).bitwiseAND(F.lit(mask))).otherwise(out)
         return out
 
-    cell = F.array(*[c.cast("int") for c in coordinates])
-
-    def label(bit: Column) -> Column:
+    def label(cell: Column, bit: Column) -> Column:
         """One bit of each coordinate, the first dimension lowest."""
         power = F.call_function("shiftleft", F.lit(1), bit)
         return F.aggregate(
@@ -68,12 +61,13 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 
     def step(acc: Column, bit: Column) -> Column:
         turned = (acc["turn"] + 1) % dims
-        found = F.get(rank, shift(label(bit).bitwiseXOR(acc["entry"]), turned, left=False))
+        found = F.get(rank, shift(label(acc["cell"], bit).bitwiseXOR(acc["entry"]), turned, left=False))
         return F.struct(
             (acc["index"] * (1 << dims) + found).cast("bigint").alias("index"),
             found.cast("int").alias("rank"),
             acc["entry"].alias("entry"),
             acc["turn"].alias("turn"),
+            acc["cell"].alias("cell"),
         )
 
     def settle(acc: Column) -> Column:
@@ -84,29 +78,63 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
             acc["rank"].alias("rank"),
             acc["entry"].bitwiseXOR(shift(F.get(entry, acc["rank"]), turned, left=True)).cast("int").alias("entry"),
             ((acc["turn"] + F.get(turn, acc["rank"]) + 1) % dims).cast("int").alias("turn"),
+            acc["cell"].alias("cell"),
         )
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("index"), F.lit(0).alias("rank"), F.lit(0).alias("entry"), F.lit(0).alias("turn"))
+    # The coordinates travel in the fold's state: named in the lambdas, they would be evaluated for each bit and dimension.
+    zero = F.struct(
+        F.lit(0).cast("bigint").alias("index"),
+        F.lit(0).alias("rank"),
+        F.lit(0).alias("entry"),
+        F.lit(0).alias("turn"),
+        F.array(*[c.cast("int") for c in coordinates]).alias("cell"),
+    )
     # Each bit takes two folds, so that no expression repeats another within itself.
     twice = F.flatten(F.transform(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), lambda b: F.array(b, F.lit(-1))))
     return F.aggregate(twice, zero, lambda acc, b: F.when(b >= 0, step(acc, b)).otherwise(settle(acc)), lambda acc: acc["index"])
 
 
+def text_cell(df: DataFrame, value: Column, bits: int) -> Column:
+    """The cell of a text among 2^bits by the share of rows with smaller texts, compared as a whole; null: cell 0.
+
+    Distinct texts are counted and sorted as a table of their own; the driver gets the least text of each cell.
+    """
+    counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    chunked = range_chunks(counts, ["value"])
+    sizes = chunked.groupBy("_chunk").agg(F.sum("n").alias("_size"))
+    ahead = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition
+    starts = sizes.select("_chunk", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"), F.sum("_size").over(Window.partitionBy()).alias("_all"))
+    before = Window.partitionBy("_chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunked.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(starts), "_chunk")
+    placed = placed.where(F.col("value").isNotNull()).withColumn("cell", F.expr(f"(_start + _before) * {1 << bits} div _all"))
+    least = sorted(tuple(r) for r in placed.groupBy("cell").agg(F.min("value")).collect())  # 2^bits rows at most
+    cuts = F.array(*[F.lit(text) for _, text in least]).cast("array<string>")
+    of_cut = F.array(F.lit(0), *[F.lit(cell) for cell, _ in least])
+    return F.coalesce(F.get(of_cut, F.size(F.filter(cuts, lambda cut: cut <= value))), F.lit(0)).cast("int")
+
+
 def cells(df: DataFrame, dims: Mapping[str, Column], bits: int, accuracy: int = 10000) -> list[Column]:
     """For each dimension the cell of a row: how many of 2^bits - 1 quantiles are at or below it.
 
-    Quantiles come from one aggregate over all rows and are bounded by 2^bits a dimension. Nulls are in
+    Quantiles of numbers come from one aggregate over all rows, cells of texts from `text_cell`; both are bounded by 2^bits a dimension. Nulls are in
     cell 0. An empty table has no quantiles and one cell.
     """
     points = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(c.cast("double"), points, accuracy).alias(f"d{i}") for i, c in enumerate(dims.values())]).first()
+    texts = {name for name, kind in df.select(*[c.alias(name) for name, c in dims.items()]).dtypes if kind == "string"}
+    numbers = [name for name in dims if name not in texts]
+    quantiles = [F.percentile_approx(dims[name].cast("double"), points, accuracy).alias(f"d{i}") for i, name in enumerate(numbers)]
+    bounds_of = dict(zip(numbers, df.agg(*quantiles).first(), strict=True)) if numbers else {}
 
     def cell(bounds: list[float] | None, value: Column) -> Column:
         cuts = F.array(*[F.lit(b) for b in sorted(set(bounds or []))]).cast("array<double>")
         return F.size(F.filter(cuts, lambda b: b <= value))
 
     lowest = F.lit(float("-inf"))
-    return [cell(bounds, F.coalesce(c.cast("double"), lowest)) for bounds, c in zip(row, dims.values(), strict=True)]
+    return [
+        text_cell(df, c, bits) if name in texts else cell(bounds_of[name], F.coalesce(c.cast("double"), lowest))
+        for name, c in dims.items()
+    ]
 
 
 def hilbert_shards(df: DataFrame, dims: Mapping[str, Column], shards: int, tie: Column, bits: int = 5) -> DataFrame:

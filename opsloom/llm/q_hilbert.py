@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.hilbert import hilbert_shards, text_rank
+from opsloom.llm.hilbert import hilbert_shards
 from opsloom.llm.tables import read, row_key
 
 SHARDS = 16
@@ -21,7 +21,7 @@ def op3_hilbert(spark: SparkSession, folder: str) -> DataFrame:
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    dims = {"lang": text_rank(F.col("lang")), "source": text_rank(F.col("source")), "size": F.col("size")}
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.col("size")}
     sharded = hilbert_shards(documents, dims, SHARDS, row_key("doc_id", "text_crc32"))
     return sharded.select(
         "doc_id",

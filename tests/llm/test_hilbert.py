@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.llm.hilbert import hilbert_index, hilbert_shards, shard_ranges, text_rank, write_shards
+from opsloom.llm.hilbert import hilbert_index, hilbert_shards, shard_ranges, text_cell, write_shards
 from opsloom.llm.tables import row_key
 from tests.llm.helpers import edges, empty
 
@@ -18,8 +18,24 @@ def test_curve_visits_every_cell_and_steps_to_neighbours(spark, dims, bits):
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for (_, p), (_, q) in zip(rows, rows[1:], strict=False))
 
 
+def test_coordinates_are_evaluated_once(spark):
+    index = hilbert_index([F.xxhash64("id") % 8, F.xxhash64("id", "id") % 8], 3)
+    plan = spark.range(9).select(index.alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 2
+
+
+def test_whole_texts_are_ranked(spark):
+    """Sources with a long common prefix, one of them with half of the rows, nulls and empty texts."""
+    names = [None, "", *[f"https://example.org/crawl/2024/source_{i:02d}" for i in range(40)], "漢字", "zz"]
+    rows = [(n,) for i, n in enumerate(names) for _ in range(1 + i % 3)] + [(names[20],)] * 80
+    df = spark.createDataFrame(rows, "s string").repartition(5)
+    got = {r["s"]: r["cell"] for r in df.withColumn("cell", text_cell(df, F.col("s"), 4)).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    assert got == {n: next(k for k, r in enumerate(ordered) if r[0] == n) * 16 // len(rows) if n is not None else 0 for n in names}
+
+
 def shard(docs, shards=16):
-    dims = {"lang": text_rank(F.col("lang")), "source": text_rank(F.col("source")), "n_chars": F.col("n_chars")}
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars")}
     return hilbert_shards(docs, dims, shards, row_key("doc_id", "text"))
 
 
@@ -45,11 +61,11 @@ def test_a_hot_row_is_cut_like_any_other(spark):
 
 
 def test_shards_cover_short_ranges(spark, tmp_path):
-    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.lpad((F.col("id") % 64).cast("string"), 2, "0")).alias("source"), F.shiftright("id", 6).alias("n_chars"))
+    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("https://example.org/s"), F.lpad((F.col("id") % 64).cast("string"), 2, "0")).alias("source"), F.shiftright("id", 6).alias("n_chars"))
     out = shard(docs)
     ranges = shard_ranges(out, {"n_chars": F.col("n_chars"), "source": F.col("source")}).collect()
     hit = sum(r["n_chars_min"] <= 5 <= r["n_chars_max"] for r in ranges)
-    also = sum(r["source_min"] <= "s05" <= r["source_max"] for r in ranges)
+    also = sum(r["source_min"] <= "https://example.org/s05" <= r["source_max"] for r in ranges)
     assert hit <= 6 and also <= 6  # of 16, for a filter on either dimension
     write_shards(out, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
