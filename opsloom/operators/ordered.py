@@ -25,7 +25,7 @@ def range_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None,
 SAMPLED = 20
 
 
-def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
+def sampled_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
     """(_k_<key>..., _cuts): for each key with a cut inside, where its later pieces begin.
 
     The rows, sorted by (keys, order), are cut into `parts` pieces at sampled rows, so only keys that reach over a
@@ -42,7 +42,7 @@ def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int |
     return stored(cuts, "cuts")
 
 
-def _with_piece(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: DataFrame, how: str) -> DataFrame:
+def with_piece(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: DataFrame, how: str) -> DataFrame:
     """df with `_piece`: how many of its key's cuts a row has reached."""
     same = F.lit(True)
     for k in keys:
@@ -71,10 +71,10 @@ def with_neighbour(
     pick = F.struct(*[F.col(src).alias(name) for name, src in values.items()])
     move = F.lead if step == 1 else F.lag
     columns = [*df.columns, *[F.col(f"_near.{name}").alias(name) for name in values]]
-    cuts = _cuts(df, keys, order, parts)
+    cuts = sampled_cuts(df, keys, order, parts)
     edge_of = F.min_by if step == 1 else F.max_by
     narrow = df.select(*dict.fromkeys([*keys, *order, *values.values()]))
-    edges = _with_piece(narrow, keys, order, cuts, "inner").groupBy(*keys, "_piece").agg(edge_of(pick, F.struct(*order)).alias("_edge"))
+    edges = with_piece(narrow, keys, order, cuts, "inner").groupBy(*keys, "_piece").agg(edge_of(pick, F.struct(*order)).alias("_edge"))
     edges = edges.withColumn("_across", move("_edge", 1).over(Window.partitionBy(*keys).orderBy("_piece")))
     edges = edges.where(F.col("_across").isNotNull())
     # no more pieces of cut keys than twice the cuts
@@ -82,7 +82,7 @@ def with_neighbour(
     cond = F.col("_piece") == F.col("_k_piece")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    numbered = _with_piece(df, keys, order, cuts, "left")
+    numbered = with_piece(df, keys, order, cuts, "left")
     inside = numbered.withColumn("_near", move(pick, 1).over(Window.partitionBy(*keys, "_piece").orderBy(*order)))
     return inside.join(edges, cond, "left").withColumn("_near", F.coalesce("_near", "_across")).select(*columns)
 
