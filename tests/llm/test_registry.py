@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_registered_once_each():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
 
 
@@ -80,3 +80,9 @@ def test_stages_on_edges(spark, stage, make):
     out = stage(spark, docs, FOLDER)
     assert out.columns == docs.columns and out.count() <= docs.count()
     assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+
+
+@pytest.mark.parametrize("make", [edges, empty])
+def test_packing_stage_on_edges(spark, make):
+    docs = make(spark)
+    assert stages.packing(spark, docs, FOLDER).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
