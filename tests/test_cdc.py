@@ -228,6 +228,23 @@ def test_change_feed_has_the_images_of_each_batch(spark, tmp_path):
     assert {r["id"]: tuple(r) for r in applied.collect()} == before
 
 
+def test_change_feed_folds_its_state_and_runs_nothing_key_by_key(spark, tmp_path):
+    history = random_history(7, n=120, keys=9) + [(None, "n", "update", 5000 + i, i, dt.datetime(2024, 1, 1)) for i in range(3)]
+    flow, folder = cdc.Flow("t"), str(tmp_path / "feed")
+    for i in range(6):
+        spark.createDataFrame(history[i::6], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bronze")
+    stream = read_history_stream(spark, f"{tmp_path}/bronze", SCHEMA, files_per_batch=1)
+    query = change_feed.start_change_feed(stream, flow, folder, fold_every=2, age=dt.timedelta(0))
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)  # no Python call for each key
+    assert len(list((tmp_path / "feed/state/changes").glob("batch_id=*"))) < 6
+    feed = spark.read.parquet(f"{folder}/changes")
+    empty = flow.current(spark.createDataFrame([], SCHEMA))
+    got = change_feed.apply_feed(empty, feed.drop("batch_id"), flow)
+    want = flow.current(spark.createDataFrame(history, SCHEMA))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_equal_positions_are_decided_by_the_transaction(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [(1, "a", "insert", 5, 1, at), (1, "b", "update", 5, 2, at), (2, "x", "update", 7, 9, at), (2, "y", "insert", 7, 3, at)]
