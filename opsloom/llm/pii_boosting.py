@@ -6,8 +6,9 @@ candidates by their format and context; the best ones above a threshold that was
 held-out candidates are added to the base spans, which always stay.
 
 Labels come from the base rules: a candidate that is a base span with a passing check is positive, one whose check fails, or
-that only overlaps a passing span, is negative, and the others are scored. The trees are fitted on a sample
-of at most `Fit.sample` labelled candidates of each label; everything else covers all rows.
+that only overlaps a passing span, is negative, and the others are scored. The trees and thresholds are made from all labelled candidates:
+those alike in every level of their features are one row with their number as its weight, and as trees split at the
+given `STEPS` alone, MLlib has no split points to find from a sample.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from __future__ import annotations
 import dataclasses
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +54,8 @@ CUES = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|addr", "card":
 
 @dataclasses.dataclass(frozen=True)
 class Fit:
-    """Parameters of the trees. `sample` bounds the labelled candidates of each label that they are fitted on."""
+    """Parameters of the trees."""
 
-    sample: int = 4000
     rounds: int = 8
     depth: int = 3
     precision: float = 0.98  # of held-out candidates above a kind's threshold
@@ -105,7 +104,26 @@ def candidates(text: Column) -> Column:
     return F.concat(*found)
 
 
-FEATURES = ("kind_no", "n_chars", "n_digits", "n_letters", "n_space", "n_dash", "n_dot", "n_paren", "groups", "plus", "at", "lead", "check", "cue", "letter_before", "letter_after")
+#: The features, and where trees may split each: a feature's level is how many of its steps it reaches.
+STEPS = {
+    "kind_no": (1, 2, 3),
+    "n_chars": (6, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 28, 32, 40, 64),
+    "n_digits": tuple(range(1, 21)),
+    "n_letters": (1, 2, 4, 6, 8, 12, 16, 24, 32),
+    "n_space": (1, 2, 3, 4, 6),
+    "n_dash": (1, 2, 3, 4, 6),
+    "n_dot": (1, 2, 3, 4, 6),
+    "n_paren": (1, 2),
+    "groups": (2, 3, 4, 5, 6, 8),
+    "plus": (1,),
+    "at": (1,),
+    "lead": tuple(range(10)),
+    "check": (1,),
+    "cue": (1,),
+    "letter_before": (1,),
+    "letter_after": (1,),
+}
+FEATURES = tuple(STEPS)
 
 
 def featured(c: DataFrame) -> DataFrame:
@@ -144,7 +162,22 @@ def featured(c: DataFrame) -> DataFrame:
         "letter_before": F.col("before").rlike("[A-Za-z]$"),
         "letter_after": F.col("after").rlike("^[A-Za-z]"),
     }
-    return c.withColumns({k: v.cast("double") for k, v in values.items()})
+    return c.withColumns({k: _level(v.cast("int"), STEPS[k]) for k, v in values.items()})
+
+
+def _level(value: Column, steps: tuple[int, ...]) -> Column:
+    level = F.lit(0)
+    for number, step in enumerate(steps, 1):
+        level = F.when(value >= step, number).otherwise(level)
+    return level
+
+
+def _vector() -> Column:
+    """A number 0 or 1 for each step: whether the feature reaches it. Marked as binary, so that it has no split points to be found."""
+    reached = [(f"{name}_{step}", F.col(name) >= number) for name, steps in STEPS.items() for number, step in enumerate(steps, 1)]
+    binary = [{"idx": i, "name": name} for i, (name, _) in enumerate(reached)]
+    values = F.array(*[one.cast("double") for _, one in reached])
+    return array_to_vector(values).alias("_features", metadata={"ml_attr": {"attrs": {"binary": binary}, "num_attrs": len(binary)}})
 
 
 def labelled(c: DataFrame) -> DataFrame:
@@ -157,23 +190,28 @@ def labelled(c: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).drop("base").dropDuplicates(["doc_key", "start", "stop", "kind"])
 
 
+def cells(rows: DataFrame) -> DataFrame:
+    """All labelled candidates, counted (`weight`) by the levels of their features, label, kind and whether they are held out."""
+    held = F.pmod(F.xxhash64("doc_key", "start", "stop", "kind"), F.lit(4)) == 0
+    given = featured(rows.filter(F.col("label").isNotNull())).withColumn("_held", held)
+    return given.groupBy(*FEATURES, "kind", "label", "_held").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def fit(rows: DataFrame, options: Fit):
-    """The trees and each kind's threshold; None without candidates of both labels."""
-    order = F.xxhash64("doc_key", "start", "stop", "kind")
-    parts = [rows.filter(F.col("label") == y).withColumn("_order", order).orderBy("_order").limit(options.sample) for y in (0.0, 1.0)]
-    sample = stored(parts[0].unionByName(parts[1]), "sample")
-    if sample.select("label").distinct().count() < 2:
+    """The trees and each kind's threshold; None without candidates of both labels among those to fit."""
+    counted = stored(cells(rows), "cells")
+    if counted.filter(~F.col("_held")).select("label").distinct().count() < 2:
         return None
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    ready = assembler.transform(featured(sample)).withColumn("_held", F.pmod("_order", F.lit(4)) == 0)
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=options.rounds, maxDepth=options.depth, seed=options.seed)
-    model = trees.fit(ready.filter(~F.col("_held")).coalesce(1))
+    ready = counted.select("*", _vector())
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=options.rounds, maxDepth=options.depth, seed=options.seed)
+    model = trees.fit(ready.filter(~F.col("_held")))
     held = scored(model, ready.filter("_held"), ready=True)
-    counts = held.groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    good, n = F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")
+    counts = held.groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(good, n).collect()  # 101 bins a kind at most
     return model, {kind: _threshold([(r["bin"], r["good"], r["n"]) for r in counts if r["kind"] == kind], options.precision) for kind in KINDS}
 
 
-def _threshold(bins: list[tuple[int, float, int]], precision: float) -> float:
+def _threshold(bins: list[tuple[int, float, float]], precision: float) -> float:
     """The least score from which on held-out candidates have the precision; 2 (none passes) if there is none."""
     best, good, n = 2.0, 0.0, 0
     for b, g, k in sorted(bins, reverse=True):
@@ -184,9 +222,9 @@ def _threshold(bins: list[tuple[int, float, int]], precision: float) -> float:
 
 
 def scored(model, rows: DataFrame, ready: bool = False) -> DataFrame:
-    """rows with `score`, the trees' probability."""
-    assembled = rows if ready else VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(featured(rows))
-    return model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
+    """rows with `score`, the trees' probability, rounded, as the order of sums over partitions may show in its last digits."""
+    assembled = rows if ready else featured(rows).select("*", _vector())
+    return model.transform(assembled).withColumn("score", F.round(vector_to_array("probability")[1], 9))
 
 
 def find(docs: DataFrame, options: Fit = Fit(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from opsloom.llm.pii_boosting import KINDS, find, redact
+from opsloom.llm.pii_boosting import KINDS, Fit, cells, find, fit, redact
 from opsloom.llm.spans import joined
 from tests.llm.helpers import edges, empty, prose, table
 
@@ -63,6 +63,22 @@ def test_trees_add_what_a_base_pattern_ran_past(spark):
         assert set(r["base_spans"]) <= set(r["spans"])
 
 
+def test_all_labelled_candidates_count(spark):
+    """More candidates of a label than any sample of some thousand, and every one in the counts that trees and thresholds are made from."""
+    hits = F.when(F.col("id") % 2 == 0, F.format_string("4111 1111 1111 %04d", F.col("id") % 10000)).otherwise(F.format_string("+1 (269) 555-%04d", F.col("id") % 10000))
+    kind = F.when(F.col("id") % 2 == 0, 2).otherwise(3)
+    rows = spark.range(18000).select(
+        F.col("id").alias("doc_key"), F.lit(0).cast("bigint").alias("start"), F.lit(19).cast("bigint").alias("stop"), kind.alias("order"),
+        F.when(kind == 2, "card").otherwise("phone").alias("kind"), hits.alias("hit"), F.lit("call ").alias("before"), F.lit(" end").alias("after"),
+        F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 0.0).alias("label"),
+    )
+    counted = cells(rows)
+    assert {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("weight").alias("n")).collect()} == {0.0: 6000.0, 1.0: 6000.0}
+    model, limits = fit(rows.withColumn("label", (F.col("order") - 2).cast("double")), Fit())
+    assert limits["phone"] <= 1 and limits["card"] == 2.0 and model.getNumTrees == Fit().rounds
+    assert fit(rows.withColumn("label", F.lit(1.0)), Fit()) is None
+
+
 def test_edges(spark):
     docs = edges(spark).withColumnRenamed("lang", "spans")
     rows = find(docs).select("doc_id", joined(F.col("base_spans")).alias("s")).collect()
