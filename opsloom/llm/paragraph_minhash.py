@@ -10,7 +10,9 @@ Paragraphs meet those of their own scale, in 8 bands of two minima: at a similar
 A line of one run takes part in both scales, so that it meets lines which differ by the mark of a sentence.
 In a band, paragraphs in order are linked to the one before and to the first, a
 row or two each and never all pairs; links are verified by exact Jaccard similarity over the shingles; verified
-links make components. Each component keeps its first paragraph by document. A repeated window is extended on either side
+links make components. What bands leave uncompared, the members of a crowded one that are not neighbours in it, is then compared exactly:
+two paragraphs at the similarity share one of their rarest shingles (prefix filter), and those of different components
+that do are verified, so no link between paragraphs that bands have brought into question is lost. Each component keeps its first paragraph by document. A repeated window is extended on either side
 by the words that it shares there with the kept one, in steps of `STEP` words. What is removed is
 reported as passages: runs of removed paragraphs with at least `PASSAGE` words.
 By simulation, one stretch of 50 random words in 1,250 holds no window, of 60 words one in 20,000; one that repeats itself
@@ -250,7 +252,7 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
 def meetings(found: DataFrame) -> DataFrame:
     """Distinct (a, b): paragraphs that meet in a band; (a, a) for one that stands in two or more texts."""
     in_band = Window.partitionBy("key").orderBy("id")
-    before, first = F.lag("id").over(in_band), F.first("id").over(in_band)
+    before, first = F.lag("id").over(in_band), F.first("id").over(in_band.rowsBetween(Window.unboundedPreceding, 0))
     rows = found.select("id", "n", before.alias("before"), first.alias("first")).filter(F.col("before").isNotNull() | (F.col("n") > 1))
     others = F.array(F.when(F.col("n") > 1, F.col("id")), F.col("before"), F.when(F.col("before").isNotNull(), F.col("first")))
     return rows.select(F.col("id").alias("a"), F.explode(F.array_distinct(others)).alias("b")).filter(F.col("b").isNotNull()).distinct()
@@ -272,7 +274,7 @@ OCCURRENCE = "doc_id bigint, doc_key bigint, kind string, start bigint, size big
 
 
 def occurrences(docs: DataFrame, active: DataFrame, fuzzy: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Where the active paragraphs stand, the fuzzy ones with their shingles (once a task at least)."""
+    """Where the active paragraphs stand, the fuzzy ones with their shingles (once a task and scale at least)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((bit_map(active), bit_map(fuzzy)))
 
@@ -281,7 +283,7 @@ def occurrences(docs: DataFrame, active: DataFrame, fuzzy: DataFrame, doc_id: st
         import pyarrow as pa
 
         sketcher, (wanted, compared) = Sketcher(), sent.value
-        given: set[int] = set()
+        given: set[tuple[str, int]] = set()
 
         def marked(bits, ids):
             slot = ids & ((1 << MAP_BITS) - 1)
@@ -298,23 +300,23 @@ def occurrences(docs: DataFrame, active: DataFrame, fuzzy: DataFrame, doc_id: st
                     window = p["kind"] == "window"
                     before, after = p["sides"](at) if window else (np.zeros(len(at), dtype=np.int64),) * 2
                     for k in [] if window else np.nonzero(marked(compared, ids))[0].tolist():
-                        if int(ids[k]) not in given:
+                        if (p["kind"], int(ids[k])) not in given:
                             if len(given) > 1_000_000:
                                 given.clear()
-                            given.add(int(ids[k]))
+                            given.add((p["kind"], int(ids[k])))
                             lists[k] = np.unique(p["shingles"](at[k])).view(np.int64)
                     rows = pa.array(p["text"][at] + first)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(rows),
                             batch.column(1).take(rows),
-                            pa.array([p["kind"]] * len(at)),
+                            pa.repeat(p["kind"], len(at)),
                             pa.array(p["start"][at]),
                             pa.array(p["size"][at]),
                             pa.array(ids),
                             pa.array(before),
                             pa.array(after),
-                            pa.array(lists, pa.list_(pa.int64())),
+                            pa.nulls(len(at), pa.list_(pa.int64())) if window else pa.array(lists, pa.list_(pa.int64())),
                         ],
                         names=[c.split()[0] for c in OCCURRENCE.split(", ")],
                     )
@@ -333,6 +335,38 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return with_sets.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def uncompared(sets: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of sets (id, kinds, root, shingles) of one scale and different roots that may have a similarity of `least`.
+
+    Two sets of n and m shingles at that similarity share `least` * n and `least` * m at least, so in any one order of all shingles they share one of the first
+    n - `least` * n + 1 of each. The order is from the rarest on: what many share stands last. Sets of one root, such as
+    the copies of a passage with small edits, make no rows.
+    """
+    each = sets.select("id", "root", F.size("shingles").alias("size"), "kinds", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("id").orderBy("often", "shingle")
+    needed = F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9))
+    first = each.join(often, "shingle").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("size") - needed + 1)
+    # one that a single set has brings nobody together
+    told = stored(first.filter(F.col("often") > 1).select("id", "root", "size", "shingle", F.explode("kinds").alias("kind")), "told")
+    one = told.select("kind", "shingle", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    two = told.select("kind", "shingle", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    met = one.join(two, ["kind", "shingle"]).filter(F.col("root_a") < F.col("root_b"))
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    return met.filter(small + 1e-6 >= large * F.lit(least)).select("a", "b").distinct()
+
+
+def classes(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(id, root) of the sets (id, kinds, shingles) that are alike: by the pairs (a, b) that have met, then by all others."""
+    roots = stored(components(verified(pairs, sets, least)).withColumnRenamed("node", "id"), "roots")
+    rooted = stored(sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "classed")
+    more = stored(verified(uncompared(rooted, least), sets, least), "more")
+    of = rooted.select("id", "root")
+    edges = more.join(of.toDF("a", "root_a"), "a").join(of.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    joined = stored(components(edges).toDF("root", "least"), "joined")
+    return of.join(joined, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
+
+
 def shared_words(a: Column, b: Column) -> Column:
     """How many words next to two windows are the same: whole steps from the window on, as `sides` tells them."""
     same = F.lit(0)
@@ -356,8 +390,8 @@ def repeated_passages(docs: DataFrame, least: float = 0.8, passage: int = PASSAG
     fuzzy = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     active = stored(met.select(F.col("a").alias("id")).union(met.select("b")).distinct(), "active")
     where = stored(occurrences(docs, active, fuzzy, doc_id, text), "occurrences")
-    sets = stored(where.filter("shingles is not null").groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
-    roots = components(verified(pairs, sets, least)).withColumnRenamed("node", "id")
+    sets = stored(where.filter("shingles is not null").groupBy("id").agg(F.first("shingles").alias("shingles"), F.collect_set("kind").alias("kinds")), "sets")
+    roots = stored(classes(pairs, sets, least), "roots")
     rooted = stored(where.drop("shingles").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     place = F.struct("doc_id", "doc_key", "start", "before", "after")
     keepers = stored(rooted.groupBy("root").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept.doc_key != last.doc_key"), "keepers")

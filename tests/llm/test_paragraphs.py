@@ -183,3 +183,13 @@ def test_query_against_brute_force_on_the_given_documents(spark):
             for w in own:
                 first.setdefault(w, r["doc_id"])
     assert long and long <= found <= some
+
+
+def test_a_crowded_band_of_dissimilar_lines_loses_no_similar_pair(spark):
+    """Lines that share 60 of 72 words, and with them bands, are not similar; each has one partner in which a single word differs."""
+    common, texts = words_of("common", 60), []
+    for k in range(400):
+        own = words_of(f"p{k}", 12)
+        texts += [" ".join([*common, *own]), " ".join([*common, *own[:-1], "edited"])]
+    rows = repeated_passages(table(spark, texts)).collect()
+    assert set(range(1, 800, 2)) <= {r["doc_id"] for r in rows if r["n_words"] == 72}
