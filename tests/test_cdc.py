@@ -245,6 +245,17 @@ def test_change_feed_folds_its_state_and_runs_nothing_key_by_key(spark, tmp_path
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_a_batch_goes_to_the_log_once_and_without_a_shuffle(spark, tmp_path):
+    history = random_history(5, n=200, keys=7)
+    spark.createDataFrame(history, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/bronze")
+    cs.start_current_state(read_history_stream(spark, f"{tmp_path}/bronze", SCHEMA), FLOW, f"{tmp_path}/t").awaitTermination()
+    # the reader reduces it; a reduction here would shuffle every row once more
+    assert spark.read.parquet(f"{tmp_path}/t/changes").count() == len(history)
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "t/changes").glob("*/*.parquet"))
+    assert cs.read_winners(spark, f"{tmp_path}/t", FLOW, SCHEMA).count() == 7
+    assert state(cs.read_current_state(spark, f"{tmp_path}/t", FLOW, SCHEMA)) == expected(history)
+
+
 def test_equal_positions_are_decided_by_the_transaction(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [(1, "a", "insert", 5, 1, at), (1, "b", "update", 5, 2, at), (2, "x", "update", 7, 9, at), (2, "y", "insert", 7, 3, at)]
