@@ -348,12 +348,15 @@ def uncompared(sets: DataFrame, least: float) -> DataFrame:
     needed = F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9))
     first = each.join(often, "shingle").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("size") - needed + 1)
     # one that a single set has brings nobody together
-    told = stored(first.filter(F.col("often") > 1).select("id", "root", "size", "shingle", F.explode("kinds").alias("kind")), "told")
-    one = told.select("kind", "shingle", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    two = told.select("kind", "shingle", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    told = stored(first.filter(F.col("often") > 1).select("id", "root", "size", "shingle", "at", F.explode("kinds").alias("kind")), "told")
+    one = told.select("kind", "shingle", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
+    two = told.select("kind", "shingle", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
     met = one.join(two, ["kind", "shingle"]).filter(F.col("root_a") < F.col("root_b"))
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    return met.filter(small + 1e-6 >= large * F.lit(least)).select("a", "b").distinct()
+    # the first shingle that they share leaves what stands after it in both, which has to be enough
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1
+    enough = most + 1e-6 >= (F.col("size_a") + F.col("size_b")) * F.lit(least / (1 + least))
+    return met.filter((small + 1e-6 >= large * F.lit(least)) & enough).select("a", "b").distinct()
 
 
 def classes(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

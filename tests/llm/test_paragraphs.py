@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from opsloom.llm.paragraph_minhash import repeated_passages
+from opsloom.llm.paragraph_minhash import repeated_passages, uncompared, verified
 from opsloom.llm.q_paragraphs import op5_paragraph_minhash
 from tests.llm.helpers import edges, empty, prose, table
 
@@ -193,3 +193,20 @@ def test_a_crowded_band_of_dissimilar_lines_loses_no_similar_pair(spark):
         texts += [" ".join([*common, *own]), " ".join([*common, *own[:-1], "edited"])]
     rows = repeated_passages(table(spark, texts)).collect()
     assert set(range(1, 800, 2)) <= {r["doc_id"] for r in rows if r["n_words"] == 72}
+
+
+def test_uncompared_sets_hold_every_similar_pair(spark):
+    import random
+
+    rng, sets = random.Random(3), []
+    for _ in range(400):
+        own = {rng.randrange(2000) for _ in range(rng.randrange(4, 40))}
+        if sets and rng.random() < 0.6:
+            own = set(rng.sample(sets[rng.randrange(len(sets))], 4)) | set(rng.choice(sets))
+        sets.append(sorted(own))
+    rows = [(i, ["line"], i, one) for i, one in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id bigint, kinds array<string>, root bigint, shingles array<bigint>")
+    got = {(r["a"], r["b"]) for r in verified(uncompared(df, 0.8), df, 0.8).collect()}
+    each = [set(one) for one in sets]
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if 10 * len(each[i] & each[j]) >= 8 * len(each[i] | each[j])}
+    assert want and got == want
