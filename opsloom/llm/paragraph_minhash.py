@@ -46,6 +46,8 @@ TOLD_BITS = 18
 #: Bits of the maps that tell a task which paragraphs matter: 2 MB each, whatever the input. Beyond some
 #: million paragraphs they let more rows pass, which the join after them drops.
 MAP_BITS = 24
+#: Low bits of a band's key that are zero, so that its rows take less room in the shuffle. Two bands of one key give more pairs to verify and lose none.
+KEY_ZEROS = 24
 
 
 class Sketcher:
@@ -241,7 +243,7 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
                         for m in minima[j : j + ROWS]:
                             mixed = (mixed ^ m) * np.uint64(0xBF58476D1CE4E5B9)
                             mixed ^= mixed >> np.uint64(29)
-                        keys.append(mixed.view(np.int64))
+                        keys.append((mixed >> np.uint64(KEY_ZEROS) << np.uint64(KEY_ZEROS)).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys))), pa.array(np.tile(n, len(keys)))], names=["key", "id", "n"]
                     )

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from opsloom.llm.paragraph_minhash import repeated_passages, uncompared, verified
+from opsloom.llm.paragraph_minhash import bands, repeated_passages, uncompared, verified
 from opsloom.llm.q_paragraphs import op5_paragraph_minhash
 from tests.llm.helpers import edges, empty, prose, table
 
@@ -195,6 +195,14 @@ def test_a_crowded_band_of_dissimilar_lines_loses_no_similar_pair(spark):
     assert set(range(1, 800, 2)) <= {r["doc_id"] for r in rows if r["n_words"] == 72}
 
 
+def test_band_keys_are_short_and_those_of_windows_whole(spark):
+    rows = bands(table(spark, [prose(k, 200, line=60) for k in range(40)])).collect()
+    of_bands = {r["key"] for r in rows if r["key"] != r["id"]}
+    windows = {r["key"] for r in rows if r["key"] == r["id"]}
+    assert all(key % (1 << 24) == 0 for key in of_bands) and len(of_bands) > 1000
+    assert any(key % (1 << 24) for key in windows)
+
+
 def test_uncompared_sets_hold_every_similar_pair(spark):
     import random
 
